@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, text_of
 
 #: Rows of a block of the running sum, about.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_500
 MAX_REPEAT = 3
 SEED = 20260
 
