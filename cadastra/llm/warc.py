@@ -116,7 +116,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         task = TaskContext.get()
         name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         size = 0
-        with fs.open_output_stream(f"{at}/{name}") as out:
+        with fs.open_output_stream(f"{at}/{name}", compression=None) as out:
             for b in batches:
                 for k in range(0, b.num_rows, 200):
                     for r in b.slice(k, 200).to_pylist():
