@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, license_scan, minhash, mixing, packing, ppm, urlfilter, warc
+from . import exact_dedup, jaccard, langid, license_scan, minhash, mixing, packing, ppm, urlfilter, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op7_url_filter(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.search(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprint(spark, sf_dir):
     return minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = [op1_license_scan, op2_source_mix, op3_warc, op4_language_id, op5_packing, op6_lm_score, op7_url_filter, op9_fingerprint, op10_exact_dedup]
+    found = [op1_license_scan, op2_source_mix, op3_warc, op4_language_id, op5_packing, op6_lm_score, op7_url_filter, op8_jaccard_join, op9_fingerprint, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
