@@ -26,6 +26,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ SENTENCE_COST, INNER_COST, WINDOW_COST = 8, 48, 16
 SPACING, GRID = 12, 64
 STRETCH = 1 << 19
 #: Distinct words whose ids a worker remembers.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 800_000
 _BATCH = 2 << 20
 
 
@@ -67,18 +68,21 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids, at = e.ids, len(self.place)
-                if at >= len(self.begin):
-                    self.begin, self.length, self.stop = (np.resize(x, 2 * len(x)) for x in (self.begin, self.length, self.stop))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.begin[at], self.length[at], self.stop[at] = self.used, len(ids), word[-1:] in (b".", b"!", b"?")
-                self.used += len(ids)
-                self.place[word] = at
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            at, to, used = len(self.place), len(self.place) + len(part), self.used + int(length.sum())
+            while to > len(self.begin):
+                self.begin, self.length, self.stop = (np.resize(x, 2 * len(x)) for x in (self.begin, self.length, self.stop))
+            while used > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.ids[self.used : used] = np.fromiter(chain.from_iterable(found), np.uint32, used - self.used)
+            self.begin[at:to] = self.used + np.cumsum(length) - length
+            self.length[at:to] = length
+            self.stop[at:to] = [w.endswith((b".", b"!", b"?")) for w in part]
+            self.place.update(zip(part, range(at, to), strict=True))
+            self.used = used
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, each text's with the end id after them; the ids at which sentences end; the number of ids of each text."""
@@ -86,9 +90,12 @@ class Encoder:
         flat = [w for ws in split for w in ws]
         if len(self.place) > self.max_words:
             self._forget()
-        new = [w for w in dict.fromkeys(flat) if w not in self.place]
-        self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            words = [flat[k] for k in unknown]
+            self._learn(list(dict.fromkeys(words)))
+            at[unknown] = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         per = np.fromiter(map(len, split), np.int64, len(split))
         # an end after the words of each text
         length = self.length[at].astype(np.int64)
@@ -104,6 +111,12 @@ class Encoder:
         return out, stops, counts
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that few words are tokenized twice."""
+    return Encoder(path)
+
+
 def candidates(doc_ends: np.ndarray, stops: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut may be, 0 first and ``total`` last, and what it costs there."""
     cost = np.full(total + 1, -1, np.int32)
@@ -207,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     """One row per piece of a document in a sequence; with ``with_ids``, its ids too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stretch = Encoder(tokenizer), _Stretch(window)
+        encoder, stretch = _encoder(tokenizer), _Stretch(window)
         base = TaskContext.get().partitionId() << 32
 
         def out(whole: bool) -> Iterator[pa.RecordBatch]:
