@@ -9,10 +9,12 @@ where the bytes that the longer context knows are excluded; below the empty
 context all bytes that are left are equally likely.
 
 The model is pretrained: one pass counts (ORDER + 1)-grams of bytes and words
-of all training texts; counts of shorter grams are sums of those. A trie over
-the most frequent grams, at most MAX_GRAMS of the longest kind, is laid out in
-hash tables, and since a prediction depends on the last bytes only, all bytes
-of a batch are scored at once, level by level.
+of all training texts; a shorter gram counts once for each longer one that ends
+with it (update exclusion). A trie over the most frequent grams is laid out in
+hash tables: at most MAX_GRAMS of the longest kind, and of each shorter kind,
+besides the ends of those, at most half as many as of the kind before. A
+prediction depends on the last bytes only, so all bytes of a batch are scored at
+once, level by level.
 
 The base model's word counts grow with the corpus. The most frequent words, at
 most MAX_HEAD, are broadcast; the others of each document are joined to
@@ -169,11 +171,18 @@ def _tag(keys: np.ndarray, length: int) -> np.ndarray:
 class Trie:
     """Contexts of 0 to ``order`` bytes and what follows them."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
+    def __init__(self, kept: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+        """kept: grams and their counts, the longest kind first; of shorter kinds those that no longer one here ends with, too."""
         self.order = order
         grams, gram_counts, contexts, totals, kinds = [], [], [], [], []
+        levels: list[tuple[np.ndarray, np.ndarray]] = []
+        for m in range(order + 1, 0, -1):
+            k, c = kept[order + 1 - m] if order + 1 - m < len(kept) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            longer = levels[-1][0] if levels else np.zeros(0, np.uint64)
+            levels.append(_merge([(_tag(k, m), c.astype(np.int64)), (_tag(longer, m), np.ones(len(longer), np.int64))]))
+        keys = levels[0][0]
         for m in range(1, order + 2):
-            k, c = _merge([(_tag(keys, m), counts.astype(np.int64))]) if len(keys) else (keys, counts)
+            k, c = levels[order + 1 - m]
             grams.append(k)
             gram_counts.append(c)
             owner, first = np.unique(_tag(k >> np.uint64(8), m - 1), return_index=True) if len(k) else (k, k)
@@ -199,6 +208,10 @@ class Trie:
         self.known = np.full(len(self.count), 0.0, np.float32)
         self.known[top:] = np.log10((self.count[top:] - 0.5) / self.total[node]) if len(keys) else 0
 
+        # what is found nowhere (-1) is the last of each
+        self.count, self.total, self.known = np.append(self.count, 1.0), np.append(self.total, 1.0), np.append(self.known, np.float32(0))
+        self.kind, self.rest, self.rest_kind = np.append(self.kind, 0.0), np.append(self.rest, 1.0), np.append(self.rest_kind, 0.0)
+
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each last byte after those before it."""
         found = self.grams.find(_tag(keys, self.order + 1))
@@ -233,7 +246,7 @@ class Model:
 
     def __init__(self, trie: Trie, head: np.ndarray, head_counts: np.ndarray, tokens: int, kinds: int, head_is_all: bool):
         self.trie, self.tokens, self.kinds, self.head_is_all = trie, tokens, kinds, head_is_all
-        self.words, self.word_counts = Lookup(head), head_counts
+        self.words, self.word_counts = Lookup(head), np.append(head_counts, 0)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.kinds + 1)))
@@ -245,12 +258,12 @@ class Model:
             starts, ends, bounds = words(data, offsets)
             h = word_hashes(data, starts, ends)
             at = self.words.find(h)
-            counts = np.where(at >= 0, self.word_counts[np.maximum(at, 0)], 0)
+            counts = self.word_counts[at]
             in_head = (at >= 0) | self.head_is_all
             row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             n = len(bounds) - 1
             end = self.words.find(np.array([_END_HASH]).view(np.uint64))[0]
-            end_count = self.word_counts[end] if end >= 0 else 0
+            end_count = self.word_counts[end]
             base = np.bincount(row, np.where(in_head, self.base(counts), 0.0), n) + self.base(np.float64(end_count))
             known = np.bincount(row, counts > 0, n).astype(np.int64) + int(end_count > 0)
             rest = np.flatnonzero(~in_head)
@@ -285,11 +298,20 @@ def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, max_h
     counts = materialize(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     grams, found = counts.where(F.col("kind") == _GRAM), counts.where(F.col("kind") == _WORD)
     tokens, kinds = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    keys, n = _arrays(grams.where(F.col("n") >= _at_least(grams, max_grams)))
+    kept, most = [], max_grams
+    for length in range(order, -1, -1):
+        limit = _at_least(grams, most)
+        kept.append(_arrays(grams.where(F.col("n") >= limit)))
+        if limit <= 1 or not length:
+            break
+        # those left out count for their ends
+        shorter = F.col("key").bitwiseAND(F.lit((1 << (8 * length)) - 1)).alias("key")
+        grams = materialize(grams.where(F.col("n") < limit).groupBy(shorter).agg(F.count(F.lit(1)).alias("n")), "lm-ends")
+        most //= 2
     least = _at_least(found, max_head)
     is_end = F.col("key") == int(_END_HASH)
     head, head_n = _arrays(found.where((F.col("n") >= least) | is_end))
-    return Model(Trie(keys, n, order), head, head_n, tokens, kinds, least <= 1), found.where((F.col("n") < least) & ~is_end).select("key", "n")
+    return Model(Trie(kept, order), head, head_n, tokens, kinds, least <= 1), found.where((F.col("n") < least) & ~is_end).select("key", "n")
 
 
 def score(docs: DataFrame, model: Model, tail_counts: DataFrame) -> DataFrame:
