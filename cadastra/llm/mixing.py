@@ -7,7 +7,8 @@ filling, solved in closed form by running sums over the sources). Each document
 of a source expects target / words copies. Its place in the running sum of
 those expectations, plus one random offset per source, tells its copies: one
 for each integer that the sum crosses. Within a source documents run from large
-to small, so that the words taken stay near the target.
+to small, so that the words taken stay near the target; the offset is the
+one, of OFFSETS evenly spaced ones from a random start, that comes nearest.
 
 The running sum is built in two levels, blocks and rows in a block, so no task
 gets a whole source: a block is a source, a power of two of the size and a hash
@@ -20,7 +21,7 @@ table gives an empty result. Only DataFrame operations are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, text_of
@@ -29,6 +30,7 @@ from .common import WORD, materialize, text_of
 BLOCK_ROWS = 2_500
 MAX_REPEAT = 3
 SEED = 20260
+OFFSETS = 16
 
 
 def _skey(name: str = "source"):
@@ -66,7 +68,7 @@ def size_of(text: str = "text"):
 
 
 def mix(docs: DataFrame, max_repeat: float = MAX_REPEAT, seed: int = SEED, keep: bool = False) -> DataFrame:
-    """docs' doc_id with size, source_size, target, copies and taken; with ``keep``, all columns of docs and copies."""
+    """docs' doc_id with size, source_size, target, copies and taken; with ``keep``, docs' row as the struct _row, and copies."""
     sizes = materialize(docs.select("doc_id", "source", size_of().alias("size")), "sizes")
     blocks_n = max(1, sizes.count() // BLOCK_ROWS)
 
@@ -78,18 +80,29 @@ def mix(docs: DataFrame, max_repeat: float = MAX_REPEAT, seed: int = SEED, keep:
     in_source = Window.partitionBy("_skey").orderBy(F.col("_cls").desc(), "_hb").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(in_source), F.lit(0))).drop("_n")
     starts = starts.join(targets(sizes, max_repeat, seed), "_skey")
-    rows = blocked(docs.withColumn("size", size_of())) if keep else blocked(sizes)
     in_block = Window.partitionBy(*keys).orderBy(F.col("size").desc(), F.col("doc_id"))
+
+    def copies(offset) -> Column:
+        last = F.col("_before") + F.col("_rank")
+        crossed = F.floor(F.col("expected") * last + offset) - F.floor(F.col("expected") * (last - 1) + offset)
+        return F.least(crossed, F.lit(int(max_repeat)))
+
+    ranked = blocked(sizes).withColumn("_rank", F.row_number().over(in_block)).join(starts, keys)
+    tries = [F.pmod(F.col("offset") + k / OFFSETS, F.lit(1.0)) for k in range(OFFSETS)]
+    taken = ranked.groupBy("_skey").agg(F.first("target").alias("target"), F.first("offset").alias("offset"), *[F.sum(copies(u) * F.col("size")).alias(f"_t{k}") for k, u in enumerate(tries)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("target")).alias("off"), u.alias("offset")) for k, u in enumerate(tries)]))
+    chosen = materialize(taken.select("_skey", nearest["offset"].alias("offset")), "offsets")
+    starts = starts.drop("offset").join(chosen, "_skey")
+    # the row as one column: its names cannot clash with those made here
+    rows = blocked(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", size_of().alias("size")) if keep else sizes)
     rows = rows.withColumn("_rank", F.row_number().over(in_block)).join(starts, keys)
-    last = F.col("_before") + F.col("_rank")
-    crossed = F.floor(F.col("expected") * last + F.col("offset")) - F.floor(F.col("expected") * (last - 1) + F.col("offset"))
-    rows = rows.withColumn("copies", F.least(crossed, F.lit(int(max_repeat))))
+    rows = rows.withColumn("copies", copies(F.col("offset")))
     if keep:
-        return rows.select(*docs.columns, "copies")
+        return rows.select("_row", "copies")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, max_repeat: float = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken."""
     rows = mix(docs, max_repeat, seed, keep=True).where("copies > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
