@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,6 +154,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(held)
 
 
+def _larger_cuts(cuts: list[int], x: Column) -> Column:
+    """How many of the descending cuts are above x: a step over their square root many groups, then one inside a group."""
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    count = lambda values: F.size(F.filter(values, lambda c: c > x))
+    if len(groups) <= 1:
+        return count(F.array(*[F.lit(c) for c in cuts])) if cuts else F.lit(0)
+    whole = count(F.array(*[F.lit(g[-1]) for g in groups]))
+    inside = F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), whole)
+    return (whole * step + F.coalesce(count(inside), F.lit(0))).cast("int")
+
+
 def compare_with_next(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and its likeness to that and to the next row's.
 
@@ -167,8 +180,7 @@ def compare_with_next(docs: DataFrame, runs: int | None = None) -> DataFrame:
     cuts = rows.agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)], 10_000) if runs > 1 else F.array()).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     # run 0 has the largest ids; a run ends with its cut
-    run = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("doc_id")))) if cuts else F.lit(0)
-    rows = rows.withColumn("run", run)
+    rows = rows.withColumn("run", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(_larger_cuts(cuts, F.col("doc_id"))))
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("i"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     heads = rows.groupBy("run").agg(F.max(order).alias("head"), F.count(F.lit(1)).alias("n")).orderBy("run").collect()  # one row per run
     if not heads:
