@@ -26,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import chunks
@@ -151,18 +151,15 @@ def _predict(texts: pa.Array, langs: list[str], proto: np.ndarray) -> tuple[list
     return names, scores
 
 
-def predict(docs: DataFrame, langs: list[str], proto: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns named in ``keep``, lang_pred and score."""
+def predict(docs: DataFrame, langs: list[str], proto: np.ndarray) -> Column:
+    """A struct of lang_pred and score of docs' texts; only the texts go through Python."""
     model = docs.sparkSession.sparkContext.broadcast((langs, proto))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = _predict(b.column(len(keep)), *model.value)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+    def work(texts: pa.Array) -> pa.Array:
+        names, scores = _predict(texts, *model.value)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    out = rows.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(work, out.schema)
+    return F.arrow_udf(work, "struct<lang_pred:string,score:double>")(F.col("text"))
 
 
 def held_out(mod: int = 4, rest: int = 2):
@@ -172,13 +169,11 @@ def held_out(mod: int = 4, rest: int = 2):
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the rows that are not held out, for all rows."""
     langs, proto = fit(docs.where(~held_out()))
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return predict(rows, langs, proto, ["doc_id", "held_out"])
+    rows = docs.select("doc_id", held_out().alias("held_out"), predict(docs, langs, proto).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rows that are in no language: null texts and texts without letters."""
     langs, proto = fit(docs)
-    if set(docs.columns) & {"lang_pred", "score", "_text"}:
-        raise ValueError("docs has columns of its own named lang_pred, score or _text")
-    return predict(docs, langs, proto, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    return docs.where(predict(docs, langs, proto)["lang_pred"] != "und")
