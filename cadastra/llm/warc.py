@@ -38,6 +38,8 @@ from .common import join_groups, materialize, shared_dir
 
 #: Bytes of an archive that one task reads.
 SPLIT = 4 << 20
+#: Tasks that ranges are dealt to, at most; a task takes its ranges one by one.
+MAX_TASKS = 50_000
 _MAGIC = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -208,7 +210,9 @@ def read(archives: DataFrame, split: int = SPLIT, with_payload: bool = True) ->
                 if held:
                     yield batch(held)
 
-    return ranges.repartition("path", "start").mapInArrow(work, out)
+    # a range is a row of a few bytes: without a number of partitions they would be put together in one task
+    tasks = archives.agg(F.coalesce(F.sum(F.ceil(F.col("size") / split)), F.lit(0))).first()[0]
+    return ranges.repartition(max(1, min(int(tasks), MAX_TASKS)), "path", "start").mapInArrow(work, out)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
