@@ -44,7 +44,8 @@ LICENSES = {
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
 
-_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that name a holder; a line of the licence itself may begin with "copyright notice", and stays.
+_COPYRIGHT = r"(?m)^[^a-z0-9\n(©]*(?:copyright[ \t:,-]*(?:\(c\)|©|[0-9]|by\b|the\b)|\(c\)|©|all rights reserved)[^\n]*$"
 _PUNCT = r"[\x00-\x2f\x3a-\x60\x7b-\x7f «»‐-‟•…]+"
 _PUNCT_RE2 = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{ab}\x{bb}\x{2010}-\x{201f}\x{2022}\x{2026}]+"
 #: Pattern and replacement; groups are kept.
