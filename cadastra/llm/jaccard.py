@@ -10,14 +10,18 @@ documents link when 100 * common >= 80 * united. The search:
    the T-occurrence bound turned round: of the lists of a query all but the
    T - 1 longest must hold a result). Only those short lists are merged:
    postings are dealt out by shingle, and lists with one member go.
-3. Candidates are proposed list by list, and verified by DivideSkip: the
-   candidates of a query are indexed by shingle, the short lists merged, the
-   long ones probed by binary search for candidates that can still reach the
+3. Candidates are proposed list by list. A parity bitmap of each set, four
+   to eight bits a shingle, bounds from below how much two sets differ; pairs that
+   differ too much for a link go. The others are verified by DivideSkip: the
+   candidates of a query are indexed by shingle, the short lists merged by a
+   heap, the long ones probed by binary search for candidates that can still reach the
    required overlap, and those that reach it are retained.
-4. In star rounds a list proposes only its members' links to one leader; what is
-   found linked becomes one component. Then only pairs from different
-   components are proposed. The last round proposes all of those, so no link
-   between components is lost, while groups of near copies never make all pairs.
+4. In the first round a list proposes only its members' links to one leader, in
+   the next ones large lists propose a forest of the pairs that their bitmaps
+   allow; what is found linked becomes one component. Then only pairs from
+   different components are proposed. The last round proposes all of those that
+   bitmaps allow, so no link between components is lost, while groups of near
+   copies never make all pairs.
 
 Candidates of one query are split over tasks in chunks. Components are found by
 label propagation with pointer jumping; every round is written to the shared
@@ -33,6 +37,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +55,11 @@ FREQUENT = 1 << 16
 LOCAL_COUNT = 4
 #: Candidates of one query that are verified together.
 CHUNK = 256
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
+#: Lists with more members are compared by bitmaps where they are; of others all pairs are proposed.
+SMALL_LIST = 48
+#: Most bits of a bitmap, and most ids that are broadcast to find the texts of a round (beyond that they are joined).
+MAX_BITS, MAX_IDS = 1 << 16, 500_000
 _DOC, _SHINGLE = 0, 1
 
 
@@ -65,19 +74,37 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles by their low bits."""
+    bits = max(8, min(MAX_BITS, 4 << (len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the shingles that only one of two sets has; the longer bitmap is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "id", "n", "digest"]
+    names = ["kind", "id", "n", "digest", "bits"]
     for b in batches:
         ids = b.column(0)
         for first, sets, _ in _sets(b.column(1)):
             k = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, _DOC, np.int8)), ids.slice(first, k), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, _DOC, np.int8)), ids.slice(first, k), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary())], names=names)
             distinct = {_digest(s): s for s in sets if len(s)}
             if distinct:
                 found, count = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
                 often = count >= LOCAL_COUNT
                 if often.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), _SHINGLE, np.int8)), pa.array(found[often].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.nulls(int(often.sum()), pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), _SHINGLE, np.int8)), pa.array(found[often].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.nulls(int(often.sum()), pa.binary()), pa.nulls(int(often.sum()), pa.binary())], names=names)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -140,12 +167,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n, id, comp) in that order: each member with the leader of its list, if of another component and of fitting size."""
+    """Lists in any order: each member with the leader of its list, if of another component and of fitting size.
+
+    A member of no fitting size leads those after it.
+    """
     lead: tuple | None = None  # token, id, n, comp
     for b in batches:
         a_side, b_side = [], []
         for token, n, i, comp in zip(*(b.column(k).to_pylist() for k in ("token", "n", "id", "comp")), strict=True):
-            if lead is None or lead[0] != token or PERCENT * n > 100 * lead[2]:
+            if lead is None or lead[0] != token or PERCENT * max(n, lead[2]) > 100 * min(n, lead[2]):
                 lead = (token, i, n, comp)
             elif lead[3] != comp:
                 a_side.append(lead[1])
@@ -154,6 +184,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a_side, pa.int64()), pa.array(b_side, pa.int64())], names=["a", "b"])
 
 
+def _can_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with sizes and bitmaps those whose bitmaps allow a link."""
+    for b in batches:
+        cols = [b.column(k).to_pylist() for k in ("na", "nb", "bits_a", "bits_b")]
+        ok = [differ_at_least(x, y) <= n + m - 2 * required(n, m) for n, m, x, y in zip(*cols, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok, pa.bool_())), b.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many pairs of different components and fitting sizes all lists have, at most."""
     total, token, sizes, head = 0, None, [], 0
@@ -191,6 +229,79 @@ def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a_side, pa.int64()), pa.array(b_side, pa.int64())], names=["a", "b"])
 
 
+class _Shelf:
+    """Members of a list with bitmaps of one length, in order of size."""
+
+    def __init__(self, width: int):
+        self.n, self.ids, self.sizes, self.comps, self.at = 0, *(np.zeros(16, np.int64) for _ in range(4))
+        self.bits = np.zeros((16, width), np.uint8)
+
+    def add(self, i: int, size: int, comp: int, at: int, bits: np.ndarray) -> None:
+        if self.n == len(self.ids):
+            self.ids, self.sizes, self.comps, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.sizes, self.comps, self.at))
+            self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
+        k = self.n
+        self.ids[k], self.sizes[k], self.comps[k], self.at[k], self.bits[k] = i, size, comp, at, bits
+        self.n = k + 1
+
+
+def _likely(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (token, n, id, comp, bits) in the order of token and n: of each list pairs of different components whose bitmaps allow a link.
+
+    All of them, or as a forest: of each member and each group of earlier ones that such pairs join, the pair that differs least.
+    """
+    token, shelves, root, place = None, {}, [], {}
+    for b in batches:
+        a_side: list[int] = []
+        b_side: list[int] = []
+        for t, n, i, comp, bits in zip(*(b.column(k).to_pylist() for k in ("token", "n", "id", "comp", "bits")), strict=True):
+            if t != token:
+                token, shelves, root, place = t, {}, [], {}
+            # members of a component share a node of the local forest
+            mine = place.setdefault(comp, len(root))
+            if mine == len(root):
+                root.append(mine)
+            own = np.frombuffer(bits, np.uint8)
+            found: list[tuple[int, int, int]] = []  # apart, id, node
+            # smaller sets came before: they have as many bits, or half as many
+            for width in {len(own), len(own) // 2} & shelves.keys():
+                shelf = shelves[width]
+                folded = own if width == len(own) else own[:width] ^ own[width:]
+                first = int(np.searchsorted(shelf.sizes[: shelf.n], -(-PERCENT * n // 100)))
+                at = np.flatnonzero(shelf.comps[first : shelf.n] != comp) + first
+                if len(at):
+                    apart = np.bitwise_count(shelf.bits[at] ^ folded).sum(1, dtype=np.int64)
+                    most = n + shelf.sizes[at] - 2 * (-(-PERCENT * (n + shelf.sizes[at]) // (100 + PERCENT)))
+                    near = at[apart <= most]
+                    found += zip(apart[apart <= most].tolist(), shelf.ids[near].tolist(), shelf.at[near].tolist(), strict=True)
+            for _, other, node in sorted(found) if forest else found:
+                if forest:
+                    x, y = node, mine
+                    while root[x] != x:
+                        x = root[x]
+                    while root[y] != y:
+                        y = root[y]
+                    if x == y:
+                        continue
+                    root[x] = root[node] = y
+                a_side.append(other)
+                b_side.append(i)
+            shelves.setdefault(len(own), _Shelf(len(own))).add(i, n, comp, mine, own)
+            if len(a_side) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a_side, pa.int64()), pa.array(b_side, pa.int64())], names=["a", "b"])
+                a_side, b_side = [], []
+        if a_side:
+            yield pa.RecordBatch.from_arrays([pa.array(a_side, pa.int64()), pa.array(b_side, pa.int64())], names=["a", "b"])
+
+
+def _likely_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _likely(batches, True)
+
+
+def _likely_crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _likely(batches, False)
+
+
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Which of the sets reach the overlap that a link with the query takes."""
     need = np.array([required(len(query), len(s), percent) for s in sets])
@@ -207,12 +318,12 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
     begin = np.concatenate([[0], np.cumsum(length)])
     least = int(need.min())
     longest = int(length.max()) if len(length) else 0
-    n_long = min(least - 1, int(least / (0.01 * np.log2(longest + 2) + 1)))
-    long = np.argsort(length, kind="stable")[len(query) - n_long :] if n_long > 0 else np.zeros(0, np.int64)
-    is_short = np.ones(len(query), bool)
-    is_short[long] = False
-    # the merge of the short lists: occurrences of each set
-    count = np.bincount(members[is_short[lists]], minlength=len(sets))
+    n_long = max(0, min(least - 1, len(query), int(least / (0.01 * np.log2(longest + 2) + 1))))
+    by_length = np.argsort(length, kind="stable")
+    short, long = by_length[: len(query) - n_long], by_length[len(query) - n_long :]
+    # occurrences of each set in the short lists
+    merged = heapq.merge(*[members[begin[k] : begin[k + 1]].tolist() for k in short if length[k]])
+    count = np.bincount(np.fromiter(merged, np.int64), minlength=len(sets))
     alive = np.flatnonzero(count >= np.maximum(need - n_long, 0))
     left = n_long
     for k in long:
@@ -259,17 +370,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids of texts (id, text) that link."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") > CHUNK)
+def verified(pairs: DataFrame, bits: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, of ids of bits (id, n, bits) and rows (doc_id, text)."""
+    side = lambda k: bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits_{k}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    # an id with several texts gives a pair several times
+    likely = materialize(likely.mapInArrow(_can_link, "a bigint, b bigint").distinct(), "jac-likely")
+    many = likely.groupBy("a").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") > CHUNK)
     many = many.select(F.col("a").cast("string").alias("ak"), "cnt")
-    total = pairs.count()
-    dealt = join_groups(pairs.withColumn("ak", F.col("a").cast("string")), "ak", many, "cnt", total)
+    dealt = join_groups(likely.withColumn("ak", F.col("a").cast("string")), "ak", many, "cnt", likely.count())
     parts = F.coalesce(F.ceil(F.col("cnt") / CHUNK), F.lit(1))
     dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("chunk"))
     asked = dealt.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("id")).unionByName(dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("id")))
-    rows = asked.join(texts, "id").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "id")
-    return rows.select("a", "chunk", "role", "id", "text").mapInArrow(_verify, "a bigint, b bigint")
+    asked = materialize(asked, "jac-asked")
+    ids = asked.select(F.col("id").alias("doc_id")).distinct()
+    texts = rows.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    found = asked.join(texts, "id").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "id")
+    return found.select("a", "chunk", "role", "id", "text").mapInArrow(_verify, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,14 +408,14 @@ def components(edges: DataFrame) -> DataFrame:
 def search(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = materialize(rows.mapInArrow(_survey, "kind tinyint, id bigint, n bigint, digest binary"), "jac-survey")
+    found = materialize(rows.mapInArrow(_survey, "kind tinyint, id bigint, n bigint, digest binary, bits binary"), "jac-survey")
     of_docs = found.where(F.col("kind") == _DOC).select(F.col("id").alias("doc_id"), "n", F.hex("digest").alias("digest"))
     often = found.where(F.col("kind") == _SHINGLE).groupBy("id").agg(F.sum("n").alias("n"))
     often = often.orderBy(F.desc("n"), "id").limit(FREQUENT).toPandas()
     tokens = often["id"].to_numpy().view(np.uint64) if len(often) else np.zeros(0, np.uint64)
     by = np.argsort(tokens)
     # the more frequent, the later
-    order = docs.sparkSession.sparkContext.broadcast((tokens[by], (len(tokens) - np.arange(len(tokens)))[by]))
+    ranked = docs.sparkSession.sparkContext.broadcast((tokens[by], (len(tokens) - np.arange(len(tokens)))[by]))
 
     # one document stands for all with its set
     classes = of_docs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
@@ -307,7 +424,7 @@ def search(docs: DataFrame) -> DataFrame:
     mapped = join_groups(of_docs, "digest", classes, "copies", total)
     mapped = materialize(mapped.select("doc_id", "n", F.coalesce("first_id", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "jac-docs")
 
-    postings = rows.mapInArrow(lambda it: _postings(it, *order.value), "token bigint, id bigint, n int")
+    postings = rows.mapInArrow(lambda it: _postings(it, *ranked.value), "token bigint, id bigint, n int")
     lists = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token bigint, id bigint, n int")
     lists = materialize(lists, "jac-postings")
     # postings of copies become those of their class; lists that then have one member go
@@ -316,26 +433,29 @@ def search(docs: DataFrame) -> DataFrame:
     lists = lists.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token bigint, id bigint, n int")
     lists = materialize(lists, "jac-lists")
     members = lists.select("id").distinct()
-    texts = materialize(rows.withColumnRenamed("doc_id", "id").join(members, "id", "left_semi"), "jac-texts")
+    bits = materialize(found.where(F.col("kind") == _DOC).select("id", "n", "bits").join(members, "id", "left_semi"), "jac-bits")
 
-    links: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(STAR_ROUNDS + 1):
+        last = turn == STAR_ROUNDS
         if labels is None:
-            labelled = lists.withColumn("comp", F.col("id"))
+            ordered = lists.withColumn("comp", F.col("id")).repartition("token").sortWithinPartitions("token", "n", "id")
+            proposed = ordered.select("token", "n", "id", "comp").mapInArrow(_stars, "a bigint, b bigint")
         else:
             labelled = lists.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        # a list within one component has nothing more to tell
-        open_lists = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        labelled = materialize(labelled.join(open_lists, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "id"), "jac-open") if turn else labelled
-        ordered = labelled.repartition("token").sortWithinPartitions("token", "n", "id")
-        last = turn == STAR_ROUNDS
-        if turn and not last:
-            sums = ordered.mapInArrow(_measure, "pairs bigint").agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()
-            last = sums[0] <= 2 * max(labelled.count(), 50_000)
-        proposed = ordered.select("token", "n", "id", "comp").mapInArrow(_crossings if last else _stars, "a bigint, b bigint")
-        proposed = materialize(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jac-pairs")
-        fresh = materialize(verified(proposed, texts), "jac-links")
+            # a list within one component has nothing more to tell
+            open_lists = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
+            labelled = materialize(labelled.join(open_lists.where("lo <> hi").select("token", "members"), "token"), "jac-open")
+            if not last:
+                by_size = labelled.repartition("token").sortWithinPartitions("token", "n", "id")
+                possible = by_size.mapInArrow(_measure, "pairs bigint").agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+                last = possible <= 2 * max(labelled.count(), 50_000)
+            small = labelled.where(F.col("members") <= SMALL_LIST).repartition("token").sortWithinPartitions("token", "n", "id").select("token", "n", "id", "comp")
+            large = labelled.where(F.col("members") > SMALL_LIST).join(bits.select("id", "bits"), "id")
+            large = large.repartition("token").sortWithinPartitions("token", "n", "id").select("token", "n", "id", "comp", "bits")
+            proposed = small.mapInArrow(_crossings if last else _stars, "a bigint, b bigint").union(large.mapInArrow(_likely_crossings if last else _likely_forest, "a bigint, b bigint"))
+        proposed = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = verified(proposed, bits, rows)
         old = labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b") if labels is not None else None
         labels = components(fresh if old is None else fresh.unionByName(old))
         if last:
