@@ -10,6 +10,8 @@ need no distinct.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,20 @@ def _level(cell: float) -> Column:
     return F.coalesce(steps, F.lit(0)).cast("int")
 
 
+@dataclass(frozen=True)
+class Grid:
+    """A cell's side with the levels that may be met, so that joins of parts of known tables need not look them up."""
+
+    cell: float
+    meet: tuple[int, ...]
+
+
+def grid_of(cell: float, tables: list[DataFrame]) -> Grid:
+    """A grid for parts of tables, padded or not: all levels up to one above their largest."""
+    top = max((k for df in tables for k in levels(df, cell)), default=0)
+    return Grid(cell, tuple(range(top + 2)))
+
+
 def levels(df: DataFrame, cell: float) -> list[int]:
     """The levels that boxes use: a few numbers, whatever the size of df."""
     return sorted(r[0] for r in df.select(_level(cell).alias("k")).distinct().collect())
@@ -39,11 +55,14 @@ def _celled(df: DataFrame, cell: float, meet: list[int]) -> DataFrame:
     return df.withColumn("_cx", F.explode(spread("xmin", "xmax"))).withColumn("_cy", F.explode(spread("ymin", "ymax")))
 
 
-def grid_join(left: DataFrame, right: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, cell: float | Grid, pad: float = 0.0) -> DataFrame:
     """Pairs of rows whose boxes meet: columns of both sides, prefixed l_ and r_. Left boxes are padded by ``pad``."""
     if pad:
         left = left.withColumns({"xmin": F.col("xmin") - pad, "ymin": F.col("ymin") - pad, "xmax": F.col("xmax") + pad, "ymax": F.col("ymax") + pad})
-    meet = sorted(set(levels(left, cell)) | set(levels(right, cell)))
+    if isinstance(cell, Grid):
+        cell, meet = cell.cell, list(cell.meet)
+    else:
+        meet = sorted(set(levels(left, cell)) | set(levels(right, cell)))
     named = lambda df, p: df.toDF(*[p + c for c in df.columns])
     a, b = named(_celled(left, cell, meet), "l_"), named(_celled(right, cell, meet), "r_")
     size = F.pow(F.lit(float(LADDER)), F.col("l__at")) * float(cell)

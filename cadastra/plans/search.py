@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ class Sources:
     addresses: DataFrame | None = None
     zones: DataFrame | None = None
     #: Side of the finest grid cell of the spatial joins, about a parcel's.
-    cell: float = 0.001
+    cell: float | spatial.Grid = 0.001
     #: Links of the export.
     record_base: str = ""
     address_base: str = ""
@@ -162,6 +162,8 @@ def missing_rolls(asked: str | None, found: int) -> int:
 
 def search(src: Sources, **inputs) -> Result:
     """Any assessment input leads to the assessment search, and legal inputs are then ignored; no input finds nothing."""
+    if not isinstance(src.cell, spatial.Grid):
+        src = replace(src, cell=spatial.grid_of(src.cell, [df for df in (src.survey, src.assess, src.zones) if df is not None]))
     given = lambda k: inputs.get(k) not in (None, "", "any")
     if any(given(k) for k in ASSESS_INPUTS):
         out = assessment_search(src, **inputs)

@@ -153,17 +153,17 @@ def page_offset(spark, d):
     return tables.page(city.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 50, 3)
 
 
-@query("SELECT id, k, row_number() OVER (ORDER BY nullif(k, '') DESC NULLS LAST, id) AS pos FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE lower(o_orderpriority) END AS k FROM orders WHERE o_orderkey < 500)")
+@query("SELECT id, k, row_number() OVER (ORDER BY nullif(k, '') DESC NULLS LAST, id) AS pos FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE lower(o_orderpriority) END AS k FROM orders)")
 def sort_nulls_last(spark, d):
-    df = city.table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.lower("o_orderpriority")).alias("k"))
+    df = city.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.lower("o_orderpriority")).alias("k"))
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*tables.sort_order(tables.text_key("k"), False, "id"))))
 
 
 @query("""SELECT id, v, row_number() OVER (ORDER BY nullif(v, '') IS NULL, try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), v, id) AS pos FROM (SELECT p_partkey AS id,
-CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN p_partkey || 'a' ELSE (p_partkey % 37)::VARCHAR END AS v FROM part WHERE p_partkey < 400)""")
+CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN p_partkey || 'a' ELSE (p_partkey % 37)::VARCHAR END AS v FROM part)""")
 def natural_sort(spark, d):
     k = F.col("p_partkey")
-    df = city.table(spark, d, "part").where(k < 400).select(k.alias("id"), F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(k.cast("string"), F.lit("a"))).otherwise((k % 37).cast("string")).alias("v"))
+    df = city.table(spark, d, "part").select(k.alias("id"), F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(k.cast("string"), F.lit("a"))).otherwise((k % 37).cast("string")).alias("v"))
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*tables.sort_order(tables.smart_key("v"), True, "id"))))
 
 
@@ -209,9 +209,9 @@ def box_intersects(spark, d):
     return city.parcels(spark, d).where(g.boxes_overlap(F.col, box.get)).select("id")
 
 
-@query("SELECT z.zone_id FROM zones z, (SELECT min(xmin) AS a, min(ymin) AS b, max(xmax) AS c, max(ymax) AS e FROM parcels WHERE id < 40) u WHERE z.xmax >= a - 3 AND z.xmin <= c + 3 AND z.ymax >= b - 3 AND z.ymin <= e + 3", "parcels", "zones")
+@query("SELECT z.zone_id FROM zones z, (SELECT min(xmin) AS a, min(ymin) AS b, max(xmax) AS c, max(ymax) AS e FROM parcels WHERE upper(roll) LIKE '%0012%') u WHERE z.xmax >= a - 3 AND z.xmin <= c + 3 AND z.ymax >= b - 3 AND z.ymin <= e + 3", "parcels", "zones")
 def union_box(spark, d):
-    return spatial.union_box_filter(city.zones(spark, d), city.parcels(spark, d).where("id < 40"), 3).select("zone_id")
+    return spatial.union_box_filter(city.zones(spark, d), city.parcels(spark, d).where(predicates.contains("roll", "0012")), 3).select("zone_id")
 
 
 @query("SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM parcels", "parcels")
@@ -219,14 +219,14 @@ def fit_extent(spark, d):
     return g.extent(city.parcels(spark, d))
 
 
-@query(f"SELECT a.id, b.zone_id FROM parcels a JOIN zones b ON {_MEET} WHERE a.id < 3000", "parcels", "zones")
+@query(f"SELECT a.id, b.zone_id FROM parcels a JOIN zones b ON {_MEET}", "parcels", "zones")
 def rect_join_inner(spark, d):
-    return spatial.grid_join(city.parcels(spark, d).where("id < 3000"), city.zones(spark, d), city.CELL).select(F.col("l_id").alias("id"), F.col("r_zone_id").alias("zone_id"))
+    return spatial.grid_join(city.parcels(spark, d), city.zones(spark, d), city.CELL).select(F.col("l_id").alias("id"), F.col("r_zone_id").alias("zone_id"))
 
 
-@query(f"SELECT b.zone_id FROM zones b WHERE EXISTS (SELECT 1 FROM parcels a WHERE a.id < 400 AND {_MEET.replace('a.xmax', 'a.xmax + 2').replace('a.xmin', 'a.xmin - 2').replace('a.ymax', 'a.ymax + 2').replace('a.ymin', 'a.ymin - 2')})", "parcels", "zones")
+@query(f"SELECT b.zone_id FROM zones b WHERE EXISTS (SELECT 1 FROM parcels a WHERE upper(a.roll) LIKE '%012%' AND {_MEET.replace('a.xmax', 'a.xmax + 2').replace('a.xmin', 'a.xmin - 2').replace('a.ymax', 'a.ymax + 2').replace('a.ymin', 'a.ymin - 2')})", "parcels", "zones")
 def rect_semi(spark, d):
-    return spatial.box_semi_join(city.zones(spark, d), city.parcels(spark, d).where("id < 400"), city.CELL, "zone_id", 2).select("zone_id")
+    return spatial.box_semi_join(city.zones(spark, d), city.parcels(spark, d).where(predicates.contains("roll", "012")), city.CELL, "zone_id", 2).select("zone_id")
 
 
 @query("SELECT a.id FROM parcels a WHERE EXISTS (SELECT 1 FROM zones b WHERE a.xmin >= b.xmin - 2 AND a.xmax <= b.xmax + 2 AND a.ymin >= b.ymin - 2 AND a.ymax <= b.ymax + 2)", "parcels", "zones")
@@ -235,16 +235,16 @@ def rect_semi_compat(spark, d):
 
 
 def _first_zone(spark, d) -> DataFrame:
-    met = spatial.grid_join(city.parcels(spark, d), city.zones(spark, d).where("zone_id % 7 = 0"), city.CELL)
+    met = spatial.grid_join(city.parcels(spark, d), city.zones(spark, d).where("zone = 'Brand#11'"), city.CELL)
     return met.groupBy(F.col("l_id").alias("id")).agg(F.min("r_zone_id").alias("zone_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT a.id, min(b.zone_id) AS zone_id, count(b.zone_id) AS n FROM parcels a LEFT JOIN zones b ON b.zone_id % 7 = 0 AND {_MEET} GROUP BY a.id", "parcels", "zones")
+@query(f"SELECT a.id, min(b.zone_id) AS zone_id, count(b.zone_id) AS n FROM parcels a LEFT JOIN zones b ON b.zone = 'Brand#11' AND {_MEET} GROUP BY a.id", "parcels", "zones")
 def rect_left_unmatched(spark, d):
     return city.parcels(spark, d).select("id").join(_first_zone(spark, d), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query(f"SELECT a.id FROM parcels a WHERE NOT EXISTS (SELECT 1 FROM zones b WHERE b.zone_id % 7 = 0 AND {_MEET})", "parcels", "zones")
+@query(f"SELECT a.id FROM parcels a WHERE NOT EXISTS (SELECT 1 FROM zones b WHERE b.zone = 'Brand#11' AND {_MEET})", "parcels", "zones")
 def rect_anti(spark, d):
     return city.parcels(spark, d).select("id").join(_first_zone(spark, d), "id", "left_anti")
 
@@ -261,33 +261,33 @@ def pip_join(spark, d):
     return _pip(spark, d).select(F.col("l_id").alias("id"), F.col("r_addr_id").alias("addr_id"))
 
 
-@query(f"SELECT a.id, p.addr_id FROM parcels a JOIN points p ON {_IN} WHERE a.id < 2000", "parcels", "points")
+@query(f"SELECT a.id, p.addr_id FROM parcels a JOIN points p ON {_IN}", "parcels", "points")
 def pip_polygon(spark, d):
     """The same with real polygons and the Arrow test."""
-    shapes = city.parcels(spark, d).where("id < 2000").withColumn("geom", g.rectangle("xmin", "ymin", "xmax", "ymax"))
+    shapes = city.parcels(spark, d).withColumn("geom", g.rectangle("xmin", "ymin", "xmax", "ymax"))
     return spatial.pip_join(shapes, city.points(spark, d), city.CELL).select(F.col("l_id").alias("id"), F.col("r_addr_id").alias("addr_id"))
 
 
-_SLICES = """slices AS (SELECT l.parcel, l.n, l.parcel * 8 + l.n AS lot_id, p.xmin + 2 * (l.n - 1) AS xmin, p.xmin + 2 * l.n AS xmax, p.ymin, p.ymax FROM lots l JOIN parcels p ON l.parcel = p.id WHERE l.parcel < 3000)"""
+_SLICES = """slices AS (SELECT l.parcel, l.n, l.parcel * 8 + l.n AS lot_id, p.xmin + 2 * (l.n - 1) AS xmin, p.xmin + 2 * l.n AS xmax, p.ymin, p.ymax FROM lots l JOIN parcels p ON l.parcel = p.id)"""
 
 
 def _slices(spark, d) -> DataFrame:
     """Lots as strips, two wide, from their parcel's left side."""
-    lots = city.lots(spark, d).where("parcel < 3000")
+    lots = city.lots(spark, d)
     p = city.parcels(spark, d).select(F.col("id").alias("parcel"), "xmin", "ymin", "ymax")
     return lots.join(p, "parcel").selectExpr("parcel * 8 + n AS lot_id", "xmin + 2 * (n - 1) AS xmin", "xmin + 2 * n AS xmax", "ymin", "ymax")
 
 
 def _matches(spark, d) -> DataFrame:
     lots = _slices(spark, d).withColumn("geom", g.rectangle("xmin", "ymin", "xmax", "ymax")).withColumn("_ord", F.col("lot_id"))
-    rolls = city.parcels(spark, d).where("id < 3000").withColumns({"geom": g.rectangle("xmin", "ymin", "xmax", "ymax"), "_ord": F.col("id")})
+    rolls = city.parcels(spark, d).withColumns({"geom": g.rectangle("xmin", "ymin", "xmax", "ymax"), "_ord": F.col("id")})
     cx, cy = g.center(F.col)
     rolls = rolls.withColumns({"centroid_lon": cx.cast("string"), "centroid_lat": cy.cast("string")})
     return spatial.parcel_matches(lots, rolls, city.CELL)
 
 
-_BOTH = """m AS (SELECT DISTINCT s.lot_id, a.id FROM slices s JOIN parcels a ON a.id < 3000 AND (((a.xmin + a.xmax) / 2.0 BETWEEN s.xmin AND s.xmax AND (a.ymin + a.ymax) / 2.0 BETWEEN s.ymin AND s.ymax)
-OR ((s.xmin + s.xmax) / 2.0 BETWEEN a.xmin AND a.xmax AND (s.ymin + s.ymax) / 2.0 BETWEEN a.ymin AND a.ymax)))"""
+_BOTH = """m AS (SELECT s.lot_id, a.id FROM slices s JOIN parcels a ON (a.xmin + a.xmax) / 2.0 BETWEEN s.xmin AND s.xmax AND (a.ymin + a.ymax) / 2.0 BETWEEN s.ymin AND s.ymax
+UNION SELECT s.lot_id, a.id FROM slices s JOIN parcels a ON (s.xmin + s.xmax) / 2.0 BETWEEN a.xmin AND a.xmax AND (s.ymin + s.ymax) / 2.0 BETWEEN a.ymin AND a.ymax)"""
 
 
 @query(f", {_SLICES}, {_BOTH} SELECT lot_id, id FROM m", "parcels", "lots")
@@ -325,11 +325,11 @@ def zoning_pct(spark, d):
     return sums.select("id", "zone", "shared", t.percent("shared", "whole").alias("pct"))
 
 
-@query(f", {_SHARES} SELECT id, zone_id, m::DOUBLE AS shared FROM shares WHERE m > 0 AND id < 500", "parcels", "zones")
+@query(f", {_SHARES} SELECT id, zone_id, m::DOUBLE AS shared FROM shares WHERE m > 0", "parcels", "zones")
 def overlap_polygon(spark, d):
     """Area shared by real polygons, by the Arrow function."""
     shape = lambda df: df.withColumn("geom", g.rectangle("xmin", "ymin", "xmax", "ymax"))
-    met = spatial.overlap_pairs(shape(city.parcels(spark, d).where("id < 500")), shape(city.zones(spark, d)), city.CELL)
+    met = spatial.overlap_pairs(shape(city.parcels(spark, d)), shape(city.zones(spark, d)), city.CELL)
     return met.select(F.col("l_id").alias("id"), F.col("r_zone_id").alias("zone_id"), "shared")
 
 
@@ -455,9 +455,9 @@ def corridor_segments(spark, d):
     return met.where(near).select(F.col("l_road").alias("road"), F.col("r_addr_id").alias("addr_id"))
 
 
-@query("""SELECT id, round(2 * 6371000 * 3.28084 * asin(sqrt(power(sin(radians(h / 1e5) / 2), 2))))::BIGINT AS feet FROM (SELECT id, ymax - ymin AS h FROM parcels WHERE id < 2000)""", "parcels")
+@query("""SELECT id, round(2 * 6371000 * 3.28084 * asin(sqrt(power(sin(radians(h / 1e5) / 2), 2))))::BIGINT AS feet FROM (SELECT id, ymax - ymin AS h FROM parcels)""", "parcels")
 def edge_dims(spark, d):
-    df = city.parcels(spark, d).where("id < 2000")
+    df = city.parcels(spark, d)
     feet = g.haversine_ft(F.lit(0.0), F.lit(0.0), F.lit(0.0), (F.col("ymax") - F.col("ymin")) / F.lit(1e5))
     return df.select("id", t.round_half_up(feet).alias("feet"))
 
@@ -565,11 +565,11 @@ def volume_class(spark, d):
 # -- cross-reference ---------------------------------------------------------------------------------------------------
 
 
-@query(f""", {_SHARES.replace('zones b', 'lots2 b').replace('b.zone, b.zone_id', 'b.id AS other').replace('shares AS', "lots2 AS (SELECT id, xmin + 3 AS xmin, ymin + 2 AS ymin, xmax + 3 AS xmax, ymax + 2 AS ymax FROM parcels WHERE id % 2 = 0), shares AS")}
+@query(f""", {_SHARES.replace('zones b', 'lots2 b').replace('b.zone, b.zone_id', 'b.id AS other').replace('shares AS', "lots2 AS (SELECT id, xmin + 3 AS xmin, ymin + 2 AS ymin, xmax + 3 AS xmax, ymax + 2 AS ymax FROM parcels), shares AS")}
 SELECT id, other, floor(m * 1000.0 / whole + 0.5) / 10 AS pct FROM shares WHERE m > 0 AND floor(m * 1000.0 / whole + 0.5) / 10 >= 0.1""", "parcels")
 def xref_pairs(spark, d):
     p = city.parcels(spark, d).select("id", *g.BOX)
-    other = p.where("id % 2 = 0").selectExpr("id AS other", "xmin + 3 AS xmin", "ymin + 2 AS ymin", "xmax + 3 AS xmax", "ymax + 2 AS ymax")
+    other = p.selectExpr("id AS other", "xmin + 3 AS xmin", "ymin + 2 AS ymin", "xmax + 3 AS xmax", "ymax + 2 AS ymax")
     met = spatial.grid_join(p, other, city.CELL).withColumn("m", _shared()).where("m > 0")
     pct = t.percent("m", (F.col("l_xmax") - F.col("l_xmin")) * (F.col("l_ymax") - F.col("l_ymin")))
     return met.select(F.col("l_id").alias("id"), F.col("r_other").alias("other"), pct.alias("pct")).where(predicates.any_overlap_worth("pct", "pct"))
@@ -582,6 +582,24 @@ def xref_left_null_safe(spark, d):
     return a.join(b, a["k"].eqNullSafe(b["bk"]), "left").select("k", "s", "n").distinct()
 
 
+# -- whole flows, checked by rows only ---------------------------------------------------------------------------------
+
+
+@query()
+def flow_dimensions(spark, d):
+    return overlays.edge_dimensions(city.sources(spark, d).assess)
+
+
+@query()
+def flow_tile_polygons(spark, d):
+    return overlays.tile_layers(city.sources(spark, d).assess)[0].drop("geom")
+
+
+@query()
+def flow_tile_labels(spark, d):
+    return overlays.tile_layers(city.sources(spark, d).assess)[1]
+
+
 def entry(spark, sf_dir: str) -> DataFrame:
     """The flagship: area-weighted zoning of all parcels."""
     return zoning_top2(spark, sf_dir)
