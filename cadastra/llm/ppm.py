@@ -10,11 +10,15 @@ context all bytes that are left are equally likely.
 
 The model is pretrained: one pass counts (ORDER + 1)-grams of bytes and words
 of all training texts; a shorter gram counts once for each longer one that ends
-with it (update exclusion). A trie over the most frequent grams is laid out in
-hash tables: at most MAX_GRAMS of the longest kind, and of each shorter kind,
-besides the ends of those, at most half as many as of the kind before. A
-prediction depends on the last bytes only, so all bytes of a batch are scored at
-once, level by level.
+with it (update exclusion). All grams count, however many there are. Up to
+MAX_GRAMS of the longest kind, their trie is laid out in hash tables and
+broadcast; a prediction depends on the last bytes only, so all bytes of a batch
+are scored at once, level by level. Above that only the most frequent grams are
+broadcast, each with its probability in the whole model; the others of each
+document are joined to theirs, and for those that no training text has, grams
+and contexts of each length are joined on the way down. Grams and contexts of at
+most SHORT bytes are joined by broadcast, as their number does not grow with the
+corpus. Both ways give the same scores.
 
 The base model's word counts grow with the corpus. The most frequent words, at
 most MAX_HEAD, are broadcast; the others of each document are joined to
@@ -31,18 +35,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .textbytes import chunks, fold, mix, word_hashes, words
 
 ORDER = 5
-#: Most (ORDER + 1)-grams in the trie, and most words in the broadcast part of the base model.
+#: Most (ORDER + 1)-grams and most words that are broadcast; the others are joined.
 MAX_GRAMS, MAX_HEAD = 1 << 21, 1 << 20
+#: Bytes of grams and contexts that are few in any corpus.
+SHORT = 3
 _END, _SPACE = 10, 32
 _WORD, _GRAM = 0, 1
 #: The word hash that stands for the end.
@@ -244,15 +251,39 @@ class Trie:
 class Model:
     """The trie and the base model."""
 
-    def __init__(self, trie: Trie, head: np.ndarray, head_counts: np.ndarray, tokens: int, kinds: int, head_is_all: bool):
-        self.trie, self.tokens, self.kinds, self.head_is_all = trie, tokens, kinds, head_is_all
+    def __init__(self, trie: Trie, head: np.ndarray, head_counts: np.ndarray, tokens: int, kinds: int, head_is_all: bool, frequent: tuple[np.ndarray, np.ndarray] | None = None):
+        """frequent: where the trie has not all grams, those it has of the longest kind, and log10 of their probabilities among all."""
+        self.trie, self.order, self.tokens, self.kinds, self.head_is_all = trie, trie.order, tokens, kinds, head_is_all
         self.words, self.word_counts = Lookup(head), np.append(head_counts, 0)
+        self.trie_is_all = frequent is None
+        if frequent is not None:
+            self.frequent, self.frequent_known = Lookup(frequent[0]), np.append(frequent[1], 0.0)
+
+    def __getstate__(self) -> dict:
+        """Workers score by a trie that has all grams, or by the frequent grams alone."""
+        return self.__dict__ if self.trie_is_all else self.__dict__ | {"trie": None}
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.kinds + 1)))
 
-    def score(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """Of runs of texts: tokens, known tokens and base score of what the head has, score, hashes of the other words."""
+    def _score_grams(self, keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Score of each text by what is broadcast; of the grams left: how many distinct ones each text has, the grams, their times there."""
+        n = len(bounds) - 1
+        if self.trie_is_all:
+            each, left = self.trie.score(keys), np.zeros(0, np.int64)
+        else:
+            at = self.frequent.find(keys)
+            each, left = self.frequent_known[at], np.flatnonzero(at < 0)
+        row, key = np.searchsorted(bounds, left, "right") - 1, keys[left]
+        by = np.lexsort((key, row))
+        row, key = row[by], key[by]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(first)
+        return np.add.reduceat(each, bounds[:-1]), (np.bincount(row[at], minlength=n), key[at].view(np.int64), np.diff(at, append=len(key)))
+
+    def score(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Of runs of texts: tokens, known tokens and base score of what the head has, score, hashes of the other words, grams that are left."""
         for _, _, data, offsets in chunks(texts, _BATCH):
             data = fold(data)
             starts, ends, bounds = words(data, offsets)
@@ -268,9 +299,9 @@ class Model:
             known = np.bincount(row, counts > 0, n).astype(np.int64) + int(end_count > 0)
             rest = np.flatnonzero(~in_head)
             tail = np.split(h[rest].view(np.int64), np.searchsorted(rest, bounds[1:-1]))
-            stream, places, where = _stream(data, starts, ends, bounds, self.trie.order)
-            each = self.trie.score(_keys(stream, places, self.trie.order))
-            yield np.diff(bounds) + 1, known, base, np.add.reduceat(each, where[:-1]), tail
+            stream, places, where = _stream(data, starts, ends, bounds, self.order)
+            scores, left = self._score_grams(_keys(stream, places, self.order), where)
+            yield np.diff(bounds) + 1, known, base, scores, tail, left
 
 
 def _at_least(counts: DataFrame, most: int) -> int:
@@ -285,36 +316,82 @@ def _at_least(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    found = rows.select("key", "n").toArrow()
+def _arrays(rows: DataFrame, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
+    found = rows.select("key", value).toArrow()
     keys = found.column("key").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    return keys[by], found.column("n").to_numpy()[by]
+    return keys[by], found.column(value).to_numpy()[by]
+
+
+class Tail(NamedTuple):
+    """What is joined to texts: counts of the words that are not broadcast; all grams, the longest kind first, if not all are broadcast."""
+
+    words: DataFrame
+    grams: list[DataFrame]
+    least: int
 
 
-def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, max_head: int = MAX_HEAD) -> tuple[Model, DataFrame]:
-    """The model of docs' texts, and the counts of all words."""
+def _ends(length: int, key: str = "key") -> Column:
+    return F.col(key).bitwiseAND(F.lit((1 << (8 * length)) - 1))
+
+
+def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, max_head: int = MAX_HEAD) -> tuple[Model, Tail]:
+    """The model of docs' texts, and what of it is not broadcast."""
     partial = docs.select("text").mapInArrow(lambda it: _count(it, order), "kind tinyint, key bigint, n bigint")
     counts = materialize(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    grams, found = counts.where(F.col("kind") == _GRAM), counts.where(F.col("kind") == _WORD)
+    grams, found = counts.where(F.col("kind") == _GRAM).select("key", "n"), counts.where(F.col("kind") == _WORD)
     tokens, kinds = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    kept, most = [], max_grams
-    for length in range(order, -1, -1):
-        limit = _at_least(grams, most)
-        kept.append(_arrays(grams.where(F.col("n") >= limit)))
-        if limit <= 1 or not length:
-            break
-        # those left out count for their ends
-        shorter = F.col("key").bitwiseAND(F.lit((1 << (8 * length)) - 1)).alias("key")
-        grams = materialize(grams.where(F.col("n") < limit).groupBy(shorter).agg(F.count(F.lit(1)).alias("n")), "lm-ends")
-        most //= 2
+    limit = _at_least(grams, max_grams)
+    frequent, levels = None, []
+    if limit > 1:
+        total = F.sum("n").over(Window.partitionBy(F.shiftright("key", 8)))  # at most 256 grams have one context
+        levels = [materialize(grams.withColumn("known", F.log10((F.col("n") - 0.5) / total)), "lm-grams")]
+        for length in range(order, 0, -1):
+            levels.append(materialize(levels[-1].groupBy(_ends(length).alias("key")).agg(F.count(F.lit(1)).alias("n")), "lm-ends"))
+        frequent = _arrays(levels[0].where(F.col("n") >= limit), "known")
+    trie = Trie([_arrays(grams.where(F.col("n") >= limit))], order)
     least = _at_least(found, max_head)
     is_end = F.col("key") == int(_END_HASH)
     head, head_n = _arrays(found.where((F.col("n") >= least) | is_end))
-    return Model(Trie(kept, order), head, head_n, tokens, kinds, least <= 1), found.where((F.col("n") < least) & ~is_end).select("key", "n")
+    model = Model(trie, head, head_n, tokens, kinds, least <= 1, frequent)
+    return model, Tail(found.where((F.col("n") < least) & ~is_end).select("key", "n"), levels, limit)
 
 
-def score(docs: DataFrame, model: Model, tail_counts: DataFrame) -> DataFrame:
+def _few(rows: DataFrame, length: int) -> DataFrame:
+    return F.broadcast(rows) if length <= SHORT else rows
+
+
+def _escaped(keys: DataFrame, grams: list[DataFrame]) -> DataFrame:
+    """key, known: log10 of the probabilities of grams that are not among those of the longest kind, from the counts of all kinds."""
+    order = len(grams) - 1
+    out = keys.select("key", F.shiftright("key", 8).alias("_up"), F.lit(0.0).alias("known"), F.lit(False).alias("hit"), F.lit(0).cast("bigint").alias("above"), F.lit(0).cast("bigint").alias("above_kind"))
+    for length in range(order, -1, -1):
+        level = grams[order - length].select("key", "n")
+        if length:  # what a context's bytes count after the context without its first byte is left out there
+            shorter = grams[order - length + 1].select(F.col("key").alias("_end"), F.col("n").alias("_n"))
+            level = level.join(_few(shorter, length), _ends(length) == F.col("_end"))
+        nodes = level.groupBy(F.shiftright("key", 8).alias("_ctx")).agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_kind"), (F.sum("_n") if length else F.lit(0)).alias("_above"))
+        out = out.join(_few(nodes, length), _ends(length, "_up") == F.col("_ctx"), "left")
+        if length < order:
+            own = grams[order - length].select(F.col("key").alias("_gram"), F.col("n").alias("_count"))
+            out = out.join(_few(own, length + 1), _ends(length + 1) == F.col("_gram"), "left")
+        else:
+            out = out.withColumn("_count", F.lit(None).cast("bigint"))
+        total, kind = F.col("_total") - F.col("above"), F.col("_kind") - F.col("above_kind")
+        step = F.when(F.col("hit"), 0.0).when(F.col("_count").isNotNull(), F.log10((F.col("_count") - 0.5) / total)).when(kind > 0, F.log10(kind / (2 * total))).otherwise(0.0)
+        out = out.select(
+            "key",
+            "_up",
+            (F.col("known") + step).alias("known"),
+            (F.col("hit") | F.col("_count").isNotNull()).alias("hit"),
+            F.coalesce("_above", F.lit(0)).alias("above"),
+            F.coalesce("_kind", F.lit(0)).alias("above_kind"),
+        )
+    # after the empty context, bytes that it does not know
+    return out.select("key", (F.col("known") - F.when(F.col("hit"), 0.0).otherwise(F.log10(256 - F.col("above_kind")))).alias("known"))
+
+
+def score(docs: DataFrame, model: Model, tail: Tail) -> DataFrame:
     """uid, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -322,20 +399,32 @@ def score(docs: DataFrame, model: Model, tail_counts: DataFrame) -> DataFrame:
         for b in batches:
             runs = list(held.value.score(b.column(2)))
             cols = [np.concatenate([r[k] for r in runs]) for k in range(4)] if runs else [np.zeros(0)] * 4
-            tail = [t for r in runs for t in r[4]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(tail, pa.list_(pa.int64()))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
+            words_left = [t for r in runs for t in r[4]]
+            per, keys, times = (np.concatenate([r[5][k] for r in runs]) if runs else np.zeros(0, np.int64) for k in range(3))
+            items = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["key", "times"])
+            grams_left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(words_left, pa.list_(pa.int64())), grams_left], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "grams"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), "text")
-    rows = rows.mapInArrow(work, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, tail array<bigint>")
+    rows = rows.mapInArrow(work, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, tail array<bigint>, grams array<struct<key:bigint,times:bigint>>")
     base = lambda c: F.log10((c + 0.1) / (model.tokens + 0.1 * (model.kinds + 1)))
     out = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"]
-    if model.head_is_all:
+    if model.head_is_all and model.trie_is_all:
         return rows.select(*out)
-    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "lm-scores")
-    rest = rows.select("uid", F.explode("tail").alias("key")).join(tail_counts, "key", "left")
-    rest = rest.groupBy("uid").agg(F.sum(base(F.coalesce("n", F.lit(0)))).alias("more"), F.count("n").alias("more_known"))
-    rows = rows.drop("tail").join(rest, "uid", "left")
-    rows = rows.withColumns({"n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("more", F.lit(0.0))})
+    scored = rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "lm-scores")
+    rows = rows.drop("tail", "grams")
+    if not model.head_is_all:
+        rest = scored.select("uid", F.explode("tail").alias("key")).join(tail.words, "key", "left")
+        rest = rest.groupBy("uid").agg(F.sum(base(F.coalesce("n", F.lit(0)))).alias("more"), F.count("n").alias("more_known"))
+        rows = rows.join(rest, "uid", "left")
+        rows = rows.withColumns({"n_known": F.col("n_known") + F.coalesce("more_known", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("more", F.lit(0.0))})
+    if not model.trie_is_all:
+        left = scored.select("uid", F.inline("grams"))
+        rare = tail.grams[0].where(F.col("n") < tail.least).select("key", "known")
+        unseen = left.select("key").distinct().join(rare, "key", "left_anti")
+        known = rare.unionByName(_escaped(unseen, tail.grams))
+        more = left.join(known, "key").groupBy("uid").agg(F.sum(F.col("known") * F.col("times")).alias("more_score"))
+        rows = rows.join(more, "uid", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     return rows.select(*out)
 
 

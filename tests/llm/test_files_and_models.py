@@ -227,6 +227,18 @@ def test_pruned_tries_are_still_probabilities(documents):
         assert (10 ** model.trie.score(every)).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order,grams", [(3, 300), (5, 2000), (5, 0)])
+def test_scores_do_not_depend_on_what_is_broadcast(make_docs, documents, order, grams):
+    strange = make_docs(["zq zq zq the zq", "日本語 é the", None, "the\x01the"], ids=[1000, 1001, 1002, 1003])
+    docs = documents.where("doc_id < 60").unionByName(strange)
+    learned = documents.where("doc_id < 60").where(~ppm.held_out())
+    whole, cut = ({r["doc_id"]: r for r in ppm.score(docs, *ppm.train(learned, order=order, max_grams=n)).collect()} for n in (1 << 21, grams))
+    assert len(cut) == len(whole) == 64
+    for i, r in whole.items():
+        assert cut[i]["score"] == pytest.approx(r["score"], rel=1e-6)
+        assert (cut[i]["n_tokens"], cut[i]["n_known"], cut[i]["base_score"]) == (r["n_tokens"], r["n_known"], pytest.approx(r["base_score"]))
+
+
 def test_better_than_words_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = ppm.score_held_out(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
