@@ -3,9 +3,10 @@
 A url's host and path are cut out of it; of the rules that fit, the longest
 decides. The urls that rules decide are the labels. Per host, path segments
 made of digits or long hexadecimal numbers become typed wildcards, and where a
-node has many rare children those become ``*``. Branches under one parent whose
-share of blocked urls does not differ significantly from their siblings' are
-merged with them. A template is rejected when its smoothed share of blocked
+node has many rare children those become ``*``, level by level from the root, so
+that what is below a ``*`` counts together. Then, level by level too, branches
+under one parent whose share of blocked urls does not differ significantly from
+their siblings' are merged with them, subtrees and all. A template is rejected when its smoothed share of blocked
 urls (smoothed towards its host, that towards the same template on all hosts,
 that towards all urls) exceeds a threshold.
 
@@ -16,6 +17,8 @@ empty result. Only DataFrame operations are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,36 +72,64 @@ def templates(parsed: DataFrame) -> DataFrame:
     is_label, is_block = F.col("label").isNotNull().cast("int"), (F.col("label") == "block").cast("int")
     shapes = parsed.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum(is_label).alias("labelled"), F.sum(F.coalesce(is_block, F.lit(0))).alias("blocked"))
     shapes = materialize(shapes, "url-shapes")
-    segs = shapes.select("host", "shape", "n", F.posexplode(F.split("shape", "/")).alias("depth", "seg"))
-    segs = segs.withColumn("parent", F.array_join(F.slice(F.split("shape", "/"), F.lit(1), F.col("depth")), "/"))
-    nodes = segs.groupBy("host", "parent", "depth", "seg").agg(F.sum("n").alias("n_child"))
-    parents = nodes.groupBy("host", "parent", "depth").agg(F.count(F.lit(1)).alias("children"), F.sum("n_child").alias("n_parent"))
-    marks = nodes.join(parents, ["host", "parent", "depth"])
-    rare = (F.col("children") > MAX_CHILDREN) & (F.col("n_child") < RARE * F.col("n_parent")) & ~F.col("seg").startswith("{")
-    marks = marks.select("host", "parent", "depth", "seg", F.when(rare, "*").otherwise(F.col("seg")).alias("mark"))
-    walked = segs.join(marks, ["host", "parent", "depth", "seg"])
-    # at most DEPTH + 1 rows meet here for each host and shape
-    found = walked.groupBy("host", "shape").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "mark"))), lambda x: x["mark"]), "/").alias("template"))
-    return found.join(shapes, ["host", "shape"])
+    rows = shapes.select("host", "shape", "n", F.lit("").alias("prefix"), F.split("shape", "/").alias("rest"))
+    seg, parts = F.element_at("rest", 1).alias("seg"), []
+    while True:
+        nodes = rows.groupBy("host", "prefix", seg).agg(F.sum("n").alias("n_child"), F.count(F.lit(1)).alias("shapes"))
+        parents = nodes.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n_child").alias("n_parent"), F.sum("shapes").alias("shapes"))
+        marks = nodes.drop("shapes").join(parents, ["host", "prefix"])
+        rare = (F.col("children") > MAX_CHILDREN) & (F.col("n_child") < RARE * F.col("n_parent")) & ~F.col("seg").startswith("{")
+        # where few shapes are left, no node below has many children
+        marks = marks.select("host", "prefix", "seg", F.when(rare, "*").otherwise(F.col("seg")).alias("mark"), (F.col("shapes") <= MAX_CHILDREN).alias("is_last"))
+        walked = rows.withColumn("seg", seg).join(marks, ["host", "prefix", "seg"])
+        ends = F.col("is_last") | (F.size("rest") == 1)
+        left = F.when(F.col("is_last"), F.array_join("rest", "/")).otherwise(F.col("mark"))
+        walked = walked.select("host", "shape", "n", F.concat("prefix", F.when(ends, left).otherwise(F.concat("mark", F.lit("/")))).alias("prefix"), F.when(~ends, F.slice("rest", 2, F.size("rest"))).alias("rest"))
+        walked = materialize(walked, "url-levels")
+        parts.append(walked.where(F.col("rest").isNull()).select("host", "shape", F.col("prefix").alias("template")))
+        rows = walked.where(F.col("rest").isNotNull())
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, parts).join(shapes, ["host", "shape"])
+
+
+def merged(tree: DataFrame) -> DataFrame:
+    """tree's host, template, labelled and blocked with n and b: the labels of the merged node that each template ends in."""
+    rows = tree.select("host", "template", "labelled", "blocked", F.lit("").alias("group"), F.split("template", "/").alias("rest"))
+    seg, parts = F.element_at("rest", 1).alias("seg"), []
+    while True:
+        nodes = rows.groupBy("host", "group", seg).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count(F.lit(1)).alias("k"))
+        above = nodes.groupBy("host", "group").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"), F.sum("k").alias("pk"))
+        others_l, others_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
+        # without labels on either side a share is null, and the branch is merged
+        pooled, own, others = F.try_divide("pb", "pl"), F.try_divide("b", "l"), F.try_divide(others_b, others_l)
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("l")) + F.try_divide(F.lit(1), others_l)))
+        differs = F.coalesce(F.abs(own - others) > Z * error, F.lit(False))
+        nodes = nodes.join(above, ["host", "group"])
+        nodes = nodes.withColumn("to", F.concat("group", F.when(differs, F.concat(F.lit("="), "seg")).otherwise(F.lit("~")), F.lit("/")))
+        pools = nodes.groupBy("host", "to").agg(F.sum("l").alias("n"), F.sum("b").alias("b"))
+        nodes = nodes.select("host", "group", "seg", "to", "pl", "pk").join(pools, ["host", "to"])
+        walked = rows.withColumn("seg", seg).join(nodes, ["host", "group", "seg"])
+        # nothing is left to compare below a node without labels or with one template
+        alone, ends = F.col("pk") == 1, (F.col("pk") == 1) | (F.col("pl") == 0) | (F.size("rest") == 1)
+        n, b = (F.when(alone, F.col(own)).otherwise(F.col(pool)).alias(pool) for own, pool in (("labelled", "n"), ("blocked", "b")))
+        walked = walked.select("host", "template", "labelled", "blocked", F.col("to").alias("group"), F.when(~ends, F.slice("rest", 2, F.size("rest"))).alias("rest"), n, b)
+        walked = materialize(walked, "url-merged")
+        parts.append(walked.where(F.col("rest").isNull()).drop("group", "rest"))
+        rows = walked.where(F.col("rest").isNotNull()).drop("n", "b")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
 
 
 def verdicts(found: DataFrame) -> DataFrame:
     """_key, n_key, learned: the verdict of each host and shape."""
     stats = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
-    tree = found.groupBy("host", "template").agg(*stats).withColumn("parent", F.regexp_replace("template", "[^/]*$", ""))
-    above = tree.groupBy("host", "parent").agg(F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"))
+    tree = merged(found.groupBy("host", "template").agg(*stats))
     hosts = tree.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
     everywhere = tree.groupBy("template").agg(F.sum("labelled").alias("gl"), F.sum("blocked").alias("gb"))
     total = tree.agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb"))
-    tree = tree.join(above, ["host", "parent"]).join(hosts, "host").join(everywhere, "template").crossJoin(F.broadcast(total))  # total is one row
-    others_l, others_b = F.col("pl") - F.col("labelled"), F.col("pb") - F.col("blocked")
-    # without labels on either side a share is null, and the branch is merged
-    pooled, own, others = F.try_divide("pb", "pl"), F.try_divide("blocked", "labelled"), F.try_divide(others_b, others_l)
-    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), others_l)))
-    differs = F.coalesce(F.abs(own - others) > Z * error, F.lit(False))
-    n, b = F.when(differs, F.col("labelled")).otherwise(F.col("pl")), F.when(differs, F.col("blocked")).otherwise(F.col("pb"))
+    tree = tree.join(hosts, "host").join(everywhere, "template").crossJoin(F.broadcast(total))  # total is one row
     p = (F.col("tb") + 1) / (F.col("tl") + 2)
-    for bad, all_ in ((F.col("gb"), F.col("gl")), (F.col("hb"), F.col("hl")), (b, n)):
+    for bad, all_ in ((F.col("gb"), F.col("gl")), (F.col("hb"), F.col("hl")), (F.col("b"), F.col("n"))):
         p = (bad + KAPPA * p) / (all_ + KAPPA)
     judged = tree.select("host", "template", F.when(p > THRESHOLD, "block").otherwise("allow").alias("learned"), p.alias("p_block"))
     return found.join(judged, ["host", "template"]).select(F.concat_ws("\n", "host", "shape").alias("_key"), F.col("n").alias("n_key"), "template", "learned", "p_block")

@@ -292,6 +292,19 @@ def test_templates_learn_from_labels(spark):
     assert {t for h, t, _ in got if h == "c.net"} == {"*"}
 
 
+def test_templates_below_wildcards(spark):
+    urls = [f"http://a.net/u/user{u}x/album{u}{a}x/photo{u}{a}{p}x" for u in range(40) for a in range(3) for p in range(2)]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], PAGES)
+    assert {r[0] for r in urlfilter.judge(pages).select("template").distinct().collect()} == {"u/*/*/*"}
+
+
+def test_inner_branches_are_merged(spark):
+    urls = [f"http://m.com/bad/x/{i}" for i in range(10)] + [f"http://m.com/good/x/{i}" for i in range(30)] + ["http://m.com/bad/y/q", "http://m.com/good/y/q"]
+    rules = [("block", "m.com/bad/x/"), ("allow", "m.com/good/x/")]
+    got = urlfilter.judge(spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], PAGES), rules).where("rule IS NULL")
+    assert {r["path"]: r["verdict"] for r in got.collect()} == {"/bad/y/q": "block", "/good/y/q": "allow"}
+
+
 # -- fingerprints ------------------------------------------------------------------------------------------------------
 
 
