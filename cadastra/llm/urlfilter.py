@@ -1,7 +1,7 @@
 """URL filters: rules first, then a tree of path templates per host.
 
 A url's host and path are cut out of it; of the rules that fit, the longest
-decides. The urls that rules decide are the labels. Per host, path segments
+decides. The urls that rules decide are the labels. Per host, all path segments
 made of digits or long hexadecimal numbers become typed wildcards, and where a
 node has many rare children those become ``*``, level by level from the root, so
 that what is below a ``*`` counts together. Then, level by level too, branches
@@ -30,8 +30,6 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 MAX_CHILDREN = 16
 #: Children with a share below this are rare.
 RARE = 0.05
-#: Segments that take part in a template; what is deeper counts as one wildcard.
-DEPTH = 6
 #: Two shares differ when their distance exceeds this many standard errors.
 Z = 1.96
 #: Pseudo-counts of each level of smoothing, and the share from which a template is rejected.
@@ -141,8 +139,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     segs = F.split(F.regexp_replace(lower_ascii(F.col("path")), "^/|\n", ""), "/")
-    head = F.transform(F.slice(segs, 1, DEPTH), _typed)
-    shape = F.concat(F.array_join(head, "/"), F.when(F.size(segs) > DEPTH, F.lit("/**")).otherwise(F.lit("")))
+    shape = F.array_join(F.transform(segs, _typed), "/")
     parsed = parsed.withColumns({"rule": rule, "label": action, "shape": shape, "host": F.col("host")})
     learned = materialize(verdicts(templates(parsed.select("host", "shape", "label"))), "url-verdicts")
     total = learned.agg(F.coalesce(F.sum("n_key"), F.lit(0))).first()[0]

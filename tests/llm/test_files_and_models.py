@@ -305,6 +305,14 @@ def test_inner_branches_are_merged(spark):
     assert {r["path"]: r["verdict"] for r in got.collect()} == {"/bad/y/q": "block", "/good/y/q": "allow"}
 
 
+def test_deep_branches_part(spark):
+    deep = "a/b/c/d/e/f/g"
+    urls = [f"http://{h}.com/{deep}/{k}/{i}" for h in "mn" for k in ("bad", "good") for i in range(30)]
+    rules = [("block", f"m.com/{deep}/bad/"), ("allow", f"m.com/{deep}/good/")]
+    got = urlfilter.judge(spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], PAGES), rules).where("host = 'n.com'")
+    assert {(r["template"], r["verdict"]) for r in got.collect()} == {(f"{deep}/bad/{{n}}", "block"), (f"{deep}/good/{{n}}", "allow")}
+
+
 # -- fingerprints ------------------------------------------------------------------------------------------------------
 
 
