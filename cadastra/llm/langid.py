@@ -176,4 +176,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rows that are in no language: null texts and texts without letters."""
     langs, proto = fit(docs)
+    if not langs:  # nothing can be told apart, so clean documents stay
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(predict(docs, langs, proto)["lang_pred"] != "und")

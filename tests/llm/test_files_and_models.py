@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cadastra.llm import minhash, packing, ppm, queries, textbytes, urlfilter, warc
+from cadastra.llm import langid, minhash, packing, ppm, queries, textbytes, urlfilter, warc
 
 FOLD = {i: i + 32 for i in range(65, 91)}
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -376,3 +376,9 @@ def test_pipeline(spark):
     rows = cp.STAGES[-1][1](spark, docs, sf)
     assert rows.agg(F.sum("length")).first()[0] > 0
     assert {r[0] for r in rows.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").distinct().collect()}
+
+
+def test_language_stage_with_nothing_to_learn_from(make_docs):
+    docs = make_docs(["plain words", None, "12 34 ...", "日本語"], langs=[None] * 4)
+    docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in langid.accepted(docs).collect()) == [0, 3]
