@@ -1,6 +1,7 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram's vector binds those of
+Every letter has a vector of +1 and -1 of its own, random for a to z and from a
+hash of the code point for others. A trigram's vector binds those of
 its letters, permuted by their places, by multiplication; a document's bundles
 its trigrams' by addition; a language's prototype bundles the unit vectors of its
 documents. A document gets the language whose prototype has the largest cosine
@@ -8,8 +9,8 @@ with it; prototypes are taken relative to their mean, which they share. The
 score is the softmax of the cosines.
 
 Letters are Unicode letters in lower case; a run of anything else is one
-boundary. The bundle of a batch is one matrix product: counts of its trigrams
-times their vectors.
+boundary. The bundles of a batch are matrix products, of counts of its trigrams
+and their vectors, a block of trigrams at a time.
 
 Defined results: null text and text without letters give ``und`` and score 0,
 as does everything if there is nothing to learn from; rows with null lang are
@@ -29,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import chunks
+from .textbytes import chunks, mix
 
 DIM = 512
 MAX_LANGS = 4096
 TEMPERATURE = 0.05
-#: Symbols: 0 is a boundary, 1 to 26 are a to z, other letters share the rest.
-SYMBOLS = 64
+#: Symbols: 0 is a boundary, 1 to 26 are a to z, others are code points; three of them fit 63 bits.
+SYMBOLS = 1 << 21
 _SUM_UNIT = 1 << 24
 _BATCH = 2 << 20
+#: Trigrams, and counts of them, in a matrix product.
+_BLOCK, _CELLS = 1 << 13, 1 << 24
 
 
 def _symbol(cp: int) -> int:
@@ -45,12 +48,12 @@ def _symbol(cp: int) -> int:
     if not unicodedata.category(ch).startswith("L"):
         return 0
     low = ch.lower()[0]
-    return ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (SYMBOLS - 27)
+    return ord(low) - 96 if "a" <= low <= "z" else ord(low)
 
 
 @cache
 def _table() -> np.ndarray:
-    return np.array([_symbol(c) for c in range(0x600)], np.uint8)
+    return np.array([_symbol(c) for c in range(0x600)], np.int64)
 
 
 def symbols(cps: np.ndarray) -> np.ndarray:
@@ -59,20 +62,32 @@ def symbols(cps: np.ndarray) -> np.ndarray:
     rare = np.flatnonzero(cps >= len(table))
     if len(rare):
         kinds, which = np.unique(cps[rare], return_inverse=True)
-        out[rare] = np.array([_symbol(int(c)) for c in kinds], np.uint8)[which]
+        out[rare] = np.array([_symbol(int(c)) for c in kinds], np.int64)[which]
     return out
 
 
 @cache
 def _letters(dim: int) -> np.ndarray:
-    return np.random.default_rng(4).choice(np.array([-1, 1], np.int8), (SYMBOLS, dim))
+    return np.random.default_rng(4).choice(np.array([-1, 1], np.int8), (64, dim))[:27]
+
+
+def _vectors(syms: np.ndarray, dim: int) -> np.ndarray:
+    out = _letters(dim)[np.minimum(syms, 26)]
+    other = syms > 26
+    if other.any():
+        words = mix(syms[other].astype(np.uint64)[:, None] << np.uint64(32) | np.arange(1, -(-dim // 64) + 1, dtype=np.uint64))
+        bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1)[:, :dim]
+        out[other] = 2 * bits.astype(np.int8) - 1
+    return out
 
 
 def trigram_vectors(ids: np.ndarray, dim: int = DIM) -> np.ndarray:
     """Bound vectors of trigrams numbered first * SYMBOLS**2 + second * SYMBOLS + third."""
-    base = _letters(dim)
+    used, at = np.unique(np.stack([ids // SYMBOLS**2, ids // SYMBOLS % SYMBOLS, ids % SYMBOLS]), return_inverse=True)
+    first, second, third = at.reshape(3, -1)
+    base = _vectors(used, dim)
     once, twice = np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
-    return (twice[ids // SYMBOLS**2] * once[ids // SYMBOLS % SYMBOLS] * base[ids % SYMBOLS]).astype(np.float32)
+    return (twice[first] * once[second] * base[third]).astype(np.float32)
 
 
 def profiles(texts: pa.Array, dim: int = DIM) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -93,11 +108,17 @@ def profiles(texts: pa.Array, dim: int = DIM) -> Iterator[tuple[int, int, np.nda
         flow, owner = flow[keep], owner[keep]
         middle = np.flatnonzero(flow[1:-1] != 0) + 1
         tri = (flow[middle - 1] * SYMBOLS + flow[middle]) * SYMBOLS + flow[middle + 1]
-        pair, count = np.unique(owner[middle] * SYMBOLS**3 + tri, return_counts=True)
-        kinds, column = np.unique(pair % SYMBOLS**3, return_inverse=True)
-        counts = np.zeros((n, len(kinds)), np.float32)
-        counts[pair // SYMBOLS**3, column] = count
-        vectors = counts @ trigram_vectors(kinds, dim)
+        kinds, column = np.unique(tri, return_inverse=True)
+        pair, count = np.unique(column * n + owner[middle], return_counts=True)
+        column, owner = pair // n, pair % n
+        vectors = np.zeros((n, dim), np.float32)
+        block = max(1, min(_BLOCK, _CELLS // n))
+        for k in range(0, len(kinds), block):
+            some = slice(*np.searchsorted(column, [k, k + block]))
+            part = kinds[k : k + block]
+            counts = np.zeros((n, len(part)), np.float32)
+            counts[owner[some], column[some] - k] = count[some]
+            vectors += counts @ trigram_vectors(part, dim)
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
         yield first, last, vectors / np.where(norm > 0, norm, 1)
 

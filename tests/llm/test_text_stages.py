@@ -163,6 +163,21 @@ def test_bundles_are_sums_of_bound_vectors():
     assert np.array_equal(langid.trigram_vectors(np.array([tri(a, b, c)]))[0], np.roll(once[a], 2) * np.roll(once[b], 1) * once[c])
 
 
+def test_letters_outside_a_to_z_have_their_own_vectors(make_docs):
+    rng = np.random.default_rng(5)
+    # each pair of alphabets has the same letters modulo 37, and the same words
+    pairs = {"l1": 0x4E00, "l2": 0x4E00 + 37, "l3": 0x430, "l4": 0x1100, "l5": 0x5D0}
+    words = [rng.integers(0, 12, 5) for _ in range(30)]
+    texts, langs = [], []
+    for _ in range(16):
+        for lang, first in pairs.items():
+            texts.append(" ".join("".join(chr(first + int(k)) for k in words[w]) for w in rng.integers(0, 30, 20)))
+            langs.append(lang)
+    docs = make_docs(texts, langs=langs)
+    got = {r["doc_id"]: r["lang_pred"] for r in docs.select("doc_id", langid.predict(docs, *langid.fit(docs.where("doc_id < 40")))["lang_pred"].alias("lang_pred")).collect()}
+    assert all(got[i] == langs[i] for i in range(40, 80))
+
+
 def test_languages_of_hard_rows(hard, empty):
     got = langid.identify(hard).collect()
     assert len(got) == 14
