@@ -1,6 +1,7 @@
 """Dedup, mixing, licences, language ID and near copies against brute force, and on hard rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -111,6 +112,17 @@ def test_copies_cross_each_integer_once(make_docs):
     assert all(r["most"] - r["least"] <= 1 for r in got)
 
 
+def test_copies_follow_the_offset_of_the_source(spark, make_docs):
+    docs = make_docs(["w " * k for k in range(1, 91)], sources=["a", "b", "c"] * 30)
+    sizes = spark.createDataFrame([("abc"[k % 3], k + 1) for k in range(90)], "source string, size bigint")
+    by = {r["_skey"][1:]: r for r in mixing.targets(sizes).collect()}
+    got = {r["size"]: r["copies"] for r in mixing.mix(docs).collect()}
+    for s in "abc":
+        e, u = by[s]["expected"], by[s]["offset"]
+        of_source = sorted((k + 1 for k in range(90) if "abc"[k % 3] == s), reverse=True)
+        assert [got[n] for n in of_source] == [math.floor(e * k + u) - math.floor(e * (k - 1) + u) for k in range(1, 31)]
+
+
 def test_mixed_rows(hard, empty):
     rows = mixing.mix(hard).collect()
     assert len(rows) == 14 and all(r["taken"] == 0 for r in rows if r["size"] == 0)
