@@ -39,8 +39,8 @@ from .textbytes import strings
 WINDOW = 2048
 END_ID = 1
 SENTENCE_COST, INNER_COST, WINDOW_COST = 8, 48, 16
-#: Candidate cuts in a document are at least SPACING apart; where no sentence ends, there is one every GRID tokens.
-SPACING, GRID = 12, 64
+#: All sentence ends are candidate cuts; besides, there is one every GRID tokens.
+GRID = 64
 STRETCH = 1 << 19
 #: Distinct words whose ids a worker remembers.
 MAX_WORDS = 800_000
@@ -125,10 +125,6 @@ def candidates(doc_ends: np.ndarray, stops: np.ndarray, total: int) -> tuple[np.
     cost[doc_ends] = 0
     cost[[0, total]] = 0
     at = np.flatnonzero(cost >= 0)
-    # of sentence ends close together one stays; document ends and the grid do
-    near = np.diff(at, prepend=-SPACING) < SPACING
-    keep = ~(near & (cost[at] == SENTENCE_COST)) | (at % SPACING == 0)
-    at = at[keep]
     return at, cost[at]
 
 

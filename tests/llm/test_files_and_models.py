@@ -131,6 +131,14 @@ def test_packing_of_hard_texts(spark, make_docs, empty):
     assert sum(len(r["ids"]) for r in ids) == ids[0]["doc_tokens"]
 
 
+def test_every_sentence_end_may_be_a_cut():
+    stops = np.arange(7, 3500, 7)
+    at, cost = packing.candidates(np.array([3500]), stops, 3500)
+    assert set(stops.tolist()) <= set(at.tolist())
+    cuts = packing.plan(at, cost)
+    assert all(c % 7 == 0 for c in cuts)
+
+
 def test_plans_are_the_cheapest():
     rng = np.random.default_rng(2)
     for _ in range(30):
