@@ -13,6 +13,8 @@ MAX_LICENSES, so it is broadcast.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,29 @@ LICENSES = {
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
+#: The same below a usual title.
+_TITLES = {
+    "0BSD": "BSD Zero Clause License", "ISC": "ISC License", "MIT": "MIT License", "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License",
+}
+_SHORT = {"ISC": "The ISC License", "MIT": "The MIT License (MIT)", "BSD-2-Clause": "BSD 2-Clause \"Simplified\" License", "BSD-3-Clause": "BSD 3-Clause \"New\" or \"Revised\" License"}
+LICENSES |= {f"{k}-titled": f"{t}\n\n{LICENSES[k]}" for k, t in _TITLES.items()} | {f"{k}-titled-2": f"{t}\n\n{LICENSES[k]}" for k, t in _SHORT.items()}
+#: Whole texts of the long ones.
+LICENSES |= {p.name.removesuffix(".txt"): p.read_text("utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
+def _other_than(words: list[str]) -> str:
+    """A pattern of words other than these, without looking ahead, which DuckDB cannot."""
+    heads = sorted({w[0] for w in words if w})
+    found = [rf"[^\s,.;:{''.join(heads)}][^\s,.;:]*"] + [h + _other_than([w[1:] for w in words if w[:1] == h]) for h in heads]
+    return f"(?:{'|'.join(found)})" + ("" if "" in words else "?")
+
 
+#: What may follow "copyright" in a licence's own short lines.
+_OWN = "notice notices holder holders owner owners law laws license licenses licence licences and or in of to is act statement ownership interest".split()
+_NAME = rf"[ \t]+{_other_than(_OWN).removesuffix("?")}(?:[ \t]+[^\s,.;:]+){{0,3}}[ \t\r]*$"
 #: Lines that name a holder; a line of the licence itself may begin with "copyright notice", and stays.
-_COPYRIGHT = r"(?m)^[^a-z0-9\n(©]*(?:copyright[ \t:,-]*(?:\(c\)|©|[0-9]|by\b|the\b)|\(c\)|©|all rights reserved)[^\n]*$"
+_COPYRIGHT = r"(?m)^[^a-z0-9\n(©]*(?:(?:copyright[ \t:,-]*(?:\(c\)|©|[0-9]|by\b|the\b)|\(c\)|©|all rights reserved)[^\n]*$|copyright" + _NAME + ")"
 _PUNCT = r"[\x00-\x2f\x3a-\x60\x7b-\x7f «»‐-‟•…]+"
 _PUNCT_RE2 = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{ab}\x{bb}\x{2010}-\x{201f}\x{2022}\x{2026}]+"
 #: Pattern and replacement; groups are kept.

@@ -152,6 +152,14 @@ def test_licenses(make_docs, hard, empty):
     assert license_scan.scan(make_docs(["x"]), {}).first()["license"] is None
 
 
+def test_whole_and_titled_licenses(make_docs):
+    mit = license_scan.LICENSES["MIT"]
+    texts = ["MIT License\n\nCopyright Jane Doe\n\n" + mit, "Copyright Jane Doe\n" + mit, *(license_scan.LICENSES.get(k) for k in ("Apache-2.0", "GPL-3.0", "CC0-1.0")), "copyright notice"]
+    rows = license_scan.scan(make_docs(texts)).orderBy("doc_id").collect()
+    assert [r["license"] for r in rows] == ["MIT-titled", "MIT", "Apache-2.0", "GPL-3.0", "CC0-1.0", None]
+    assert rows[-1]["digest"] == hashlib.sha256(b"copyright notice").hexdigest()
+
+
 # -- language ID -------------------------------------------------------------------------------------------------------
 
 
