@@ -114,9 +114,9 @@ def shingles(h: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndar
     return mix(found), out
 
 
-def shingle_runs(column: pa.Array, width: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def shingle_runs(column: pa.Array, width: int = 5, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last row, shingle hashes with repeats, and their bounds, of texts with A-Z lower-cased."""
-    for first, last, data, offsets in chunks(column):
+    for first, last, data, offsets in chunks(column, size):
         data = fold(data)
         starts, ends, bounds = words(data, offsets)
         yield first, last, *shingles(word_hashes(data, starts, ends), bounds, width)

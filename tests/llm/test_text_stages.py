@@ -249,7 +249,7 @@ def test_components(documents):
     assert {r[0] for r in kept.select("doc_id").collect()} == {c for _, c in want.values()}
 
 
-def test_chains_and_big_groups(make_docs):
+def test_chains_and_big_groups(make_docs, monkeypatch):
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(120)]
 
@@ -263,7 +263,12 @@ def test_chains_and_big_groups(make_docs):
     # a passage that many share, not alike otherwise
     texts += [" ".join(base[:30] + [f"u{i}_{k}" for k in range(60)]) for i in range(60)]
     docs = make_docs(texts)
-    assert {r[0]: (r[1], r[2]) for r in jaccard.search(docs).collect()} == brute_components(list(enumerate(texts)))
+    want = brute_components(list(enumerate(texts)))
+    assert {r[0]: (r[1], r[2]) for r in jaccard.search(docs).collect()} == want
+    # lists and neighbourhoods dealt out over many pieces and blocks, in all rounds
+    monkeypatch.setattr(jaccard, "PIECE", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 600)
+    assert {r[0]: (r[1], r[2]) for r in jaccard.search(docs).collect()} == want
 
 
 def test_near_copies_of_hard_rows(hard, empty):
@@ -279,8 +284,36 @@ def test_divide_skip_is_counting():
     rng = np.random.default_rng(5)
     q = np.unique(rng.integers(0, 400, 200).astype(np.uint64))
     sets = [np.unique(np.concatenate([rng.choice(q, int(rng.integers(1, len(q))), replace=False), rng.integers(0, 400, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(80)]
-    want = [100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s)) for s in sets]
-    assert jaccard.divide_skip(q, sets).tolist() == want and any(want) and not all(want)
+    want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))]
+    index = jaccard.Index([*sets, q])
+    found = index.find(80, np.arange(81) < 80)
+    assert found.tolist() == want and 0 < len(want) < 80
+    assert index.find(80, np.arange(81) < 40).tolist() == [k for k in want if k < 40]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_of_a_block(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, (3, 60)).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        s = base[rng.integers(3)].copy()
+        s[rng.choice(60, int(rng.integers(0, 12)), replace=False)] = rng.integers(0, 1 << 62, 1)[0]
+        sets.append(np.unique(s[: int(rng.integers(40, 61))]))
+    sets.append(np.array([5], np.uint64))
+    comps = [k // 2 for k in range(61)]
+
+    def joined(pairs):
+        label = dict(enumerate(comps))
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            label = {k: new if v == old else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    links = [(a, b) for a in range(61) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert joined(jaccard.links(sets, comps, [True] * 61)) == joined(links)
+    asking = [k < 20 for k in range(61)]
+    assert joined(jaccard.links(sets, comps, asking)) == joined([(a, b) for a, b in links if asking[a] or asking[b]])
 
 
 def test_bitmaps_never_rule_out_a_link():
