@@ -7,7 +7,7 @@ INNER_COST; a window costs its padding (none where its length is a power of two)
 and WINDOW_COST. The cheapest plan up to each candidate cut is the minimum, over
 earlier cuts at most WINDOW tokens back, of their plans plus the padding between;
 as the padding is linear in the distance, a monotone queue finds it in constant
-time. Windows of a power of two are looked up one by one at document ends.
+time. Windows of a power of two, which have none, are looked up one by one.
 
 The stream is planned in stretches of about STRETCH tokens, whatever a task's
 size; the last window of a stretch is planned again with the next one.
@@ -23,6 +23,7 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -42,8 +43,8 @@ SENTENCE_COST, INNER_COST, WINDOW_COST = 8, 48, 16
 #: All sentence ends are candidate cuts; besides, there is one every GRID tokens.
 GRID = 64
 STRETCH = 1 << 19
-#: Distinct words whose ids a worker remembers.
-MAX_WORDS = 800_000
+#: Distinct words, and pieces of words, whose ids a worker remembers.
+MAX_WORDS = 500_000
 _BATCH = 2 << 20
 
 
@@ -55,59 +56,119 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class Encoder:
-    """Ids of texts, word by word: tokens never reach over white space, so each word is tokenized once."""
+@cache
+def _ends_word(tokenizer) -> np.ndarray:
+    """Which ids end a piece."""
+    ids = tokenizer.get_vocab()
+    out = np.zeros(max(ids.values()) + 1, bool)
+    out[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+    return out
 
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
-        self.tokenizer, self.max_words = _tokenizer(path), max_words
-        self._forget()
 
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+#: Signs whose lower case and kind (letter, digit, other) are plain: ASCII and precomposed Latin letters; others are odd.
+_ODD = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]|<[|]")
+# Fixed value: how the vocabulary's tokenizer splits a word in lower case.
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^0-9{_LETTERS}]+")
+
+
+class _Table:
+    """Ids by key; the first ``most`` keys are remembered, others until ``forget``."""
+
+    def __init__(self, most: int):
+        self.most, self.place = most, {}
         self.begin, self.length, self.stop = (np.zeros(1 << 16, t) for t in (np.int64, np.int32, bool))
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, new: list[bytes]) -> None:
+    def add(self, keys: list, ids: np.ndarray, length: np.ndarray, stop: list | bool = False) -> None:
+        at, to, used = len(self.place), len(self.place) + len(keys), self.used + len(ids)
+        while to > len(self.begin):
+            self.begin, self.length, self.stop = (np.resize(x, 2 * len(x)) for x in (self.begin, self.length, self.stop))
+        while used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : used] = ids
+        self.begin[at:to] = self.used + np.cumsum(length) - length
+        self.length[at:to], self.stop[at:to] = length, stop
+        self.place.update(zip(keys, range(at, to), strict=True))
+        self.used = used
+
+    def find(self, keys: list, learn) -> np.ndarray:
+        """Places of keys; ``learn`` adds the distinct ones that are not here."""
+        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new = [keys[k] for k in unknown]
+            learn(list(dict.fromkeys(new)))
+            at[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        return at
+
+    def gather(self, at: np.ndarray, shift: np.ndarray | int = 0, out: np.ndarray | None = None) -> np.ndarray:
+        """The ids at places, one after the other, or into ``out`` with so many more before those of each."""
+        length = self.length[at].astype(np.int64)
+        begin = np.cumsum(length) - length
+        within = np.arange(int(length.sum())) - np.repeat(begin, length)
+        found = self.ids[np.repeat(self.begin[at], length) + within]
+        if out is None:
+            return found
+        out[np.repeat(begin + shift, length) + within] = found
+        return out
+
+    def forget(self) -> None:
+        while len(self.place) > self.most:  # the last ones in go
+            self.used = int(self.begin[self.place.popitem()[1]])
+
+
+class Encoder:
+    """Ids of texts, word by word, as tokens never reach over white space; a new word's from the pieces that the tokenizer splits it into."""
+
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
+        self.tokenizer, self.words, self.pieces = _tokenizer(path), _Table(max_words), _Table(max_words)
+
+    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has. Many are one text for the tokenizer: each ends with a token that ends a word."""
+        whole = self.tokenizer.encode_batch_fast([" ".join(new[k : k + 500]) for k in range(0, len(new), 500)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in whole), np.uint32)
+        ends = np.flatnonzero(_ends_word(self.tokenizer)[ids])
+        if len(ends) == len(new) and ends[-1] == len(ids) - 1:
+            return ids, np.diff(ends, prepend=-1)
+        return self._ids_one_by_one(new)
+
+    def _ids_one_by_one(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _learn_pieces(self, new: list[str]) -> None:
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            at, to, used = len(self.place), len(self.place) + len(part), self.used + int(length.sum())
-            while to > len(self.begin):
-                self.begin, self.length, self.stop = (np.resize(x, 2 * len(x)) for x in (self.begin, self.length, self.stop))
-            while used > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : used] = np.fromiter(chain.from_iterable(found), np.uint32, used - self.used)
-            self.begin[at:to] = self.used + np.cumsum(length) - length
-            self.length[at:to] = length
-            self.stop[at:to] = [w.endswith((b".", b"!", b"?")) for w in part]
-            self.place.update(zip(part, range(at, to), strict=True))
-            self.used = used
+            self.pieces.add(part, *self._ids(part))
+
+    def _learn(self, new: list[bytes]) -> None:
+        whole = b"\n".join(new).decode()
+        if _ODD.search(whole):  # words with odd signs or with one of the tokenizer's marks
+            odd = [w for w in new if _ODD.search(w.decode())]
+            self.words.add(odd, *self._ids_one_by_one([w.decode() for w in odd]), [w.endswith((b".", b"!", b"?")) for w in odd])
+            new = [w for w in new if w not in self.words.place]
+            whole = b"\n".join(new).decode()
+        if new:
+            split = list(map(_PIECES.findall, whole.lower().split("\n")))
+            per = np.fromiter(map(len, split), np.int64, len(split))
+            at = self.pieces.find(list(chain.from_iterable(split)), self._learn_pieces)
+            ends = np.append(0, np.cumsum(self.pieces.length[at], dtype=np.int64))
+            bounds = np.append(0, np.cumsum(per))
+            self.words.add(new, self.pieces.gather(at), np.diff(ends[bounds]), [w.endswith((b".", b"!", b"?")) for w in new])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, each text's with the end id after them; the ids at which sentences end; the number of ids of each text."""
         split = [t.split() for t in texts]
-        flat = [w for ws in split for w in ws]
-        if len(self.place) > self.max_words:
-            self._forget()
-        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            words = [flat[k] for k in unknown]
-            self._learn(list(dict.fromkeys(words)))
-            at[unknown] = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        per = np.fromiter(map(len, split), np.int64, len(split))
+        at = self.words.find(list(chain.from_iterable(split)), self._learn)
         # an end after the words of each text
-        length = self.length[at].astype(np.int64)
-        row = np.repeat(np.arange(len(split)), per)
+        row = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        length = self.words.length[at].astype(np.int64)
         counts = np.bincount(row, length, len(split)).astype(np.int64) + 1
-        ends = np.cumsum(counts)
-        first = np.cumsum(length) - length + row
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.full(total, END_ID, np.uint32)
-        within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        out[np.repeat(first, length) + within] = self.ids[np.repeat(self.begin[at], length) + within]
-        stops = (first + length)[self.stop[at]]
+        out = self.words.gather(at, row, np.full(int(counts.sum()), END_ID, np.uint32))
+        stops = (np.cumsum(length) + row)[self.words.stop[at]]
+        self.words.forget()
+        self.pieces.forget()
         return out, stops, counts
 
 
@@ -145,11 +206,10 @@ def plan(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
         b = queue_at[head]
         gap = p - pos[b]
         value = best[b] + (0 if gap & (gap - 1) == 0 else window - gap)
-        if pen[c] == 0:
-            for power in powers:
-                e = index.get(p - power)
-                if e is not None and best[e] < value:
-                    value, b = best[e], e
+        for power in powers:
+            e = index.get(p - power)
+            if e is not None and best[e] < value:
+                value, b = best[e], e
         value += pen[c] + WINDOW_COST
         best[c], back[c] = value, b
         index[p] = c
