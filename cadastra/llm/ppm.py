@@ -47,14 +47,14 @@ from .textbytes import chunks, fold, mix, word_hashes, words
 
 ORDER = 5
 #: Most (ORDER + 1)-grams and most words that are broadcast; the others are joined.
-MAX_GRAMS, MAX_HEAD = 1 << 21, 1 << 20
+MAX_GRAMS, MAX_HEAD = 1 << 19, 1 << 19
 #: Bytes of grams and contexts that are few in any corpus.
 SHORT = 3
 _END, _SPACE = 10, 32
 _WORD, _GRAM = 0, 1
 #: The word hash that stands for the end.
 _END_HASH = np.int64(-1)
-_BATCH = 2 << 20
+_BATCH = 1 << 20
 
 
 def _stream(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 class _Counter:
     """Counts of 64-bit keys; sent on when there are many."""
 
-    def __init__(self, kind: int, limit: int = 1 << 21):
+    def __init__(self, kind: int, limit: int = 1 << 20):
         self.kind, self.limit, self.parts, self.size = kind, limit, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -282,9 +282,9 @@ class Model:
         at = np.flatnonzero(first)
         return np.add.reduceat(each, bounds[:-1]), (np.bincount(row[at], minlength=n), key[at].view(np.int64), np.diff(at, append=len(key)))
 
-    def score(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """Of runs of texts: tokens, known tokens and base score of what the head has, score, hashes of the other words, grams that are left."""
-        for _, _, data, offsets in chunks(texts, _BATCH):
+    def score(self, texts: pa.Array) -> Iterator[tuple[int, int, tuple[np.ndarray, ...], list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """First and last row of runs of texts; tokens, known tokens and base score of what the head has, and score; hashes of the other words; grams that are left."""
+        for first, last, data, offsets in chunks(texts, _BATCH):
             data = fold(data)
             starts, ends, bounds = words(data, offsets)
             h = word_hashes(data, starts, ends)
@@ -301,7 +301,7 @@ class Model:
             tail = np.split(h[rest].view(np.int64), np.searchsorted(rest, bounds[1:-1]))
             stream, places, where = _stream(data, starts, ends, bounds, self.order)
             scores, left = self._score_grams(_keys(stream, places, self.order), where)
-            yield np.diff(bounds) + 1, known, base, scores, tail, left
+            yield first, last, (np.diff(bounds) + 1, known, base, scores), tail, left
 
 
 def _at_least(counts: DataFrame, most: int) -> int:
@@ -397,13 +397,11 @@ def score(docs: DataFrame, model: Model, tail: Tail) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs = list(held.value.score(b.column(2)))
-            cols = [np.concatenate([r[k] for r in runs]) for k in range(4)] if runs else [np.zeros(0)] * 4
-            words_left = [t for r in runs for t in r[4]]
-            per, keys, times = (np.concatenate([r[5][k] for r in runs]) if runs else np.zeros(0, np.int64) for k in range(3))
-            items = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["key", "times"])
-            grams_left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), items)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(words_left, pa.list_(pa.int64())), grams_left], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "grams"])
+            for first, last, cols, words_left, (per, keys, times) in held.value.score(b.column(2)):
+                items = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["key", "times"])
+                grams_left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), items)
+                own = [c.slice(first, last - first) for c in (b.column(0), b.column(1))]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(words_left, pa.list_(pa.int64())), grams_left], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "grams"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), "text")
     rows = rows.mapInArrow(work, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, tail array<bigint>, grams array<struct<key:bigint,times:bigint>>")
