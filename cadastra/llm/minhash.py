@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .textbytes import CHUNK, mix, shingle_runs
 
 BINS, BITS, WIDTH = 512, 4, 5
+#: Documents of a run, about; there are as many runs as shuffle partitions at least.
+RUN_ROWS = 20_000
 
 
 @cache
@@ -94,10 +96,10 @@ def fingerprints(texts: pa.Array, bins: int = BINS, bits: int = BITS) -> list[by
 
 
 def fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
-    """docs with one more column, their fingerprints in base64."""
-    if name in docs.columns:
-        raise ValueError(f"docs has a column {name}")
+    """docs with one more column, their fingerprints in base64; where docs has one of that name, an underscore follows the name."""
     names = docs.columns
+    while name in names:
+        name += "_"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,8 +178,8 @@ def compare_with_next(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    runs = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)], 10_000) if runs > 1 else F.array()).first()[0] or []
+    runs = runs or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.select("doc_id").count() // RUN_ROWS + 1)
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)], max(10_000, 4 * runs)) if runs > 1 else F.array()).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     # run 0 has the largest ids; a run ends with its cut
     rows = rows.withColumn("run", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(_larger_cuts(cuts, F.col("doc_id"))))
