@@ -11,7 +11,8 @@ complete normalised texts.
 
 Defined results: null text counts as empty; null doc_id ranks below all others;
 of rows repeated with the same doc_id and text one stays; an empty table gives
-an empty result; extra columns are ignored here and kept by ``dedup``.
+an empty result; extra columns, whatever their names, are ignored here and kept
+by ``dedup``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_groups, lower_ascii, materialize, text_of
@@ -31,6 +32,8 @@ from .common import join_groups, lower_ascii, materialize, text_of
 #: Bytes of distinct texts that one table may hold before its bucket is split.
 TABLE_BYTES = 64 << 20
 FANOUT = 16
+#: Most rows that go for their keys to be broadcast; beyond that they are joined.
+MAX_GONE = 200_000
 MAX_DEPTH = 8
 
 _PARTS = pa.schema([("sha", pa.string()), ("norm", pa.binary()), ("top", pa.int64()), ("n", pa.int64())])
@@ -149,36 +152,60 @@ def text_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     return dealt.mapInArrow(lambda it: _final(it, budget), _GROUPS_DDL)
 
 
+def _one_of_repeats(rows: DataFrame, key: str) -> DataFrame:
+    """rows with _first, true for one of the rows of each key. One of each task is found first, so a key with many rows is no hot task."""
+    here = F.row_number().over(Window.partitionBy(key, "_task").orderBy(F.lit(0)))
+    rows = rows.withColumn("_task", F.spark_partition_id()).withColumn("_here", here)
+    # the others of a task are keys of their own
+    alone = F.when(F.col("_here") == 1, F.lit(-1).cast("bigint")).otherwise(F.monotonically_increasing_id())
+    rows = rows.withColumn("_alone", alone)
+    first = (F.col("_here") == 1) & (F.row_number().over(Window.partitionBy(key, "_alone").orderBy(F.lit(0))) == 1)
+    return rows.withColumn("_first", first).drop("_task", "_here", "_alone")
+
+
+def _digest() -> Column:
+    return F.sha2(lower_ascii(text_of()).cast("binary"), 256)
+
+
 def find_copies(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
     groups = materialize(text_groups(docs, budget), "exact-groups")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    digest = F.sha2(lower_ascii(text_of()).cast("binary"), 256)
-    rows = docs.select(F.col("doc_id").cast("bigint"), digest.alias("sha"))
+    rows = materialize(docs.select(F.col("doc_id").cast("bigint"), _digest().alias("sha")), "exact-rows")
     rows = join_groups(rows, "sha", groups.where("group_size > 1"), "group_size", total)
-    # of rows with the same doc_id and text one is kept
-    nth = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy(F.lit(0)))
     single = F.col("group_size").isNull()
-    keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.withColumn("_nth", nth).select(
+    rows = rows.withColumn("stays", single | F.col("keep_id").eqNullSafe(F.col("doc_id")))
+    # of rows repeated with the doc_id and the text of the one that stays, one is kept
+    repeated = materialize(rows.where("stays and group_size is not null").groupBy("sha").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "exact-repeats")
+    rows = rows.withColumn("_first", F.lit(True))
+    if not repeated.isEmpty():
+        marked = join_groups(rows, "sha", repeated, "times", total)
+        again = F.col("times").isNotNull() & F.col("stays")
+        rows = marked.where(~again).drop("times").unionByName(_one_of_repeats(marked.where(again).drop("times", "_first"), "sha"))
+    return rows.select(
         "doc_id",
-        keep.alias("keep_id"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        (keep.eqNullSafe(F.col("doc_id")) & (F.col("_nth") == 1)).alias("kept"),
+        (F.col("stays") & F.col("_first")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
 def dedup(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """docs without the rows whose text a row with a larger doc_id has too."""
-    digest = F.sha2(lower_ascii(text_of()).cast("binary"), 256)
     groups = materialize(text_groups(docs, budget).where("group_size > 1"), "exact-groups")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    rows = docs.withColumn("_sha", digest)
-    dup = groups.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
-    # copies: only their narrow keys are dealt out by digest; the texts stay where they are read
-    ids = join_groups(rows.select("doc_id", "_sha"), "_sha", dup, "_size", total)
-    drop = ids.where(F.col("_keep").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_keep"))).select(F.col("doc_id").alias("_d"), F.col("_sha").alias("_s")).distinct()
-    kept = rows.join(drop, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s")), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    # the row as one column: its names cannot clash with those made here
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), _digest().alias("_sha"))
+    # only the narrow keys of copies are dealt out by digest; the texts stay where they are read if few rows go
+    ids = join_groups(rows.select("_id", "_sha"), "_sha", groups.withColumnRenamed("sha", "_sha"), "group_size", total)
+    ids = materialize(ids.where("group_size is not null").groupBy("_id", "_sha", "keep_id").agg(F.count(F.lit(1)).alias("times")), "exact-ids")
+    stays = F.col("_id").eqNullSafe(F.col("keep_id"))
+    gone = ids.where(~stays).select(F.col("_id").alias("_d"), F.col("_sha").alias("_s"))
+    kept = rows.join(F.broadcast(gone) if gone.count() <= MAX_GONE else gone, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s")), "left_anti")
+    repeated = ids.where(stays & (F.col("times") > 1)).select("_sha", "times")
+    if not repeated.isEmpty():
+        marked = join_groups(kept, "_sha", repeated, "times", total)
+        once = _one_of_repeats(marked.where("times is not null").drop("times"), "_sha").where("_first").drop("_first")
+        kept = marked.where("times is null").drop("times").unionByName(once)
+    return kept.select("_row.*")

@@ -367,6 +367,8 @@ def test_fingerprints_of_hard_rows(hard, empty):
     assert all(r["fingerprint"] == "" for r in got if r["n_chars"] == 0)
     assert minhash.compare_with_next(empty).count() == 0
     assert minhash.fingerprint(hard).count() == 14
+    again = minhash.fingerprint(hard.withColumn("fingerprint", F.lit("mine")))
+    assert again.columns[-2:] == ["fingerprint", "fingerprint_"] and {r["fingerprint"] for r in again.collect()} == {"mine"}
 
 
 def test_densified_estimate_is_unbiased():
