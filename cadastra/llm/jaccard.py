@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, join_groups, materialize
-from .textbytes import shingle_runs
+from .textbytes import release, shingle_runs
 
 WIDTH, PERCENT = 5, 80
 #: So many of the most frequent shingles are known to the order of all sets; any number gives the same result.
@@ -128,6 +128,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 often = count >= LOCAL_COUNT
                 if often.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), _SHINGLE, np.int8)), pa.array(found[often].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.nulls(int(often.sum()), pa.binary()), pa.nulls(int(often.sum()), pa.int64()), pa.nulls(int(often.sum()), pa.binary())], names=names)
+    release()
 
 
 def _postings(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -157,6 +158,7 @@ def _postings(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.
             if tokens:
                 per = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(docs, np.int64), per)), pa.array(np.repeat(np.array(sizes, np.int32), per))], names=["token", "h", "n"])
+    release()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,6 +374,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 labels.append(label)
                 asking.append(asks)
     yield from found()
+    release()
 
 
 def _ask(asked: DataFrame, rows: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import chunks, mix
+from .textbytes import chunks, mix, release
 
 DIM = 512
 MAX_LANGS = 4096
@@ -38,9 +38,9 @@ TEMPERATURE = 0.05
 #: Symbols: 0 is a boundary, 1 to 26 are a to z, others are code points; three of them fit 63 bits.
 SYMBOLS = 1 << 21
 _SUM_UNIT = 1 << 24
-_BATCH = 2 << 20
+_BATCH = 1 << 20
 #: Trigrams, and counts of them, in a matrix product.
-_BLOCK, _CELLS = 1 << 13, 1 << 24
+_BLOCK, _CELLS = 1 << 12, 1 << 22
 
 
 def _symbol(cp: int) -> int:
@@ -135,6 +135,7 @@ def _sums(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatc
                 rows[lang] = rows.get(lang, 0) + len(mine)
     for lang, total in found.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(np.arange(dim), pa.int32()), pa.array(total, pa.int64())], names=["lang", "at", "total"])
+    release()
 
 
 def fit(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
@@ -178,6 +179,7 @@ def predict(docs: DataFrame, langs: list[str], proto: np.ndarray) -> Column:
 
     def work(texts: pa.Array) -> pa.Array:
         names, scores = _predict(texts, *model.value)
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
     return F.arrow_udf(work, "struct<lang_pred:string,score:double>")(F.col("text"))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import strings
+from .textbytes import release, strings
 
 WINDOW = 2048
 END_ID = 1
@@ -44,8 +44,8 @@ SENTENCE_COST, INNER_COST, WINDOW_COST = 8, 48, 16
 GRID = 64
 STRETCH = 1 << 19
 #: Distinct words, and pieces of words, whose ids a worker remembers.
-MAX_WORDS = 500_000
-_BATCH = 2 << 20
+MAX_WORDS = 200_000
+_BATCH = 1 << 20
 
 
 @cache
@@ -291,17 +291,18 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
 
         for b in batches:
             data, offsets = strings(b.column(1))
-            raw = data.tobytes()
             doc_ids = b.column(0).to_pylist()
             first = 0
             while first < len(doc_ids):
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _BATCH, "right")) - 1)
-                texts = [raw[offsets[k] : offsets[k + 1]] for k in range(first, last)]
+                raw, at = data[offsets[first] : offsets[last]].tobytes(), (offsets[first : last + 1] - offsets[first]).tolist()
+                texts = [raw[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
                 stretch.add(doc_ids[first:last], *encoder.encode(texts))
                 first = last
                 if len(stretch.ids) >= STRETCH:
                     yield from out(False)
         yield from out(True)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     return rows.mapInArrow(work, _OUT + ", ids array<bigint>" * with_ids)

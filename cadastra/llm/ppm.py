@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textbytes import chunks, fold, mix, word_hashes, words
+from .textbytes import chunks, fold, mix, release, word_hashes, words
 
 ORDER = 5
 #: Most (ORDER + 1)-grams and most words that are broadcast; the others are joined.
@@ -139,6 +139,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             yield from of_grams.add(_keys(stream, places, order))
     yield from of_words.flush()
     yield from of_grams.flush()
+    release()
 
 
 class Lookup:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +22,33 @@ _LONG = 4096
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a column of texts; null counts as empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    if pa.types.is_null(column.type):
+        column = column.cast(pa.string())
+    if column.null_count:
+        column = column.fill_null("")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    found = ctypes.util.find_library("c")
+    libc = ctypes.CDLL(found) if found else None
+    return libc if libc is not None and hasattr(libc, "malloc_trim") else None
+
+
+def release() -> None:
+    """Give freed memory back: workers live on after a task, and many share a machine."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last row, bytes and offsets of runs of rows of about ``size`` bytes."""
     data, offsets = strings(column)
