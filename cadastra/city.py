@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.spatial import Grid
+
 #: Side of the finest grid cell: parcels are at most 16 wide.
 CELL = 16
+#: Levels of the city's tables: parcels, lots and points touch the finest cells, zones and padded parcels the next.
+GRID = Grid(CELL, (0, 1))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +73,7 @@ def sql(*names: str) -> str:
     return "WITH " + ", ".join(SQL[n] for n in names)
 
 
-def _degrees(df: DataFrame) -> DataFrame:
+def degrees(df: DataFrame) -> DataFrame:
     """Boxes of integers as boxes of lon and lat, with their polygon."""
     from .functions import geometry as g
 
@@ -80,13 +86,18 @@ def sources(spark: SparkSession, sf_dir: str):
     """The city's tables in the shape that searches take."""
     from .functions import geometry as g
     from .plans.search import Sources
+    from .sources import files
 
     p = parcels(spark, sf_dir)
     strips = lots(spark, sf_dir).join(p.select(F.col("id").alias("parcel"), "xmin", "ymin", "ymax"), "parcel")
     survey = strips.selectExpr("parcel * 8 + n AS _ord", "cast(parcel * 8 + n AS string) AS id", "cast(lot AS string) AS lot", "cast(block AS string) AS block", "cast(plan AS string) AS plan", "'' AS description", "xmin + 2 * (n - 1) AS xmin", "ymin", "xmin + 2 * n AS xmax", "ymax")
     cx, cy = g.center(F.col)
-    assess = _degrees(p.selectExpr("id AS _ord", "roll AS roll_number", "id AS street_number", "'MAIN ST' AS street_name", "concat(id, ' MAIN ST') AS full_address", "zoning", "cast(value AS string) AS total_assessed_value", "cast(year AS string) AS current_assessment_year", "xmin", "ymin", "xmax", "ymax"))
+    assess = degrees(p.selectExpr("id AS _ord", "roll AS roll_number", "id AS street_number", "'MAIN ST' AS street_name", "concat(id, ' MAIN ST') AS full_address", "zoning", "cast(value AS string) AS total_assessed_value", "cast(year AS string) AS current_assessment_year", "xmin", "ymin", "xmax", "ymax"))
     assess = assess.withColumns({"property_use_code": F.lit("RES"), "centroid_lon": cx.cast("string"), "centroid_lat": cy.cast("string"), "assessed_land_area": ((F.col("street_number") % 90 + 10) * 100).cast("string"), "dwelling_units": (F.col("street_number") % 4).cast("string"), "detail_url": F.lit(None).cast("string")})
     pts = points(spark, sf_dir).selectExpr("concat(addr_id, ' SIDE ST') AS full_address", "addr_id AS street_number", "'SIDE ST' AS street_name", "-99.0D + x * 1e-5D AS lon", "49.0D + y * 1e-5D AS lat")
-    zs = _degrees(zones(spark, sf_dir).withColumns({"_ord": F.col("zone_id"), "zoning": F.col("zone")}))
-    return Sources(_degrees(survey), assess, pts, zs, CELL * 1e-5, "https://records.example/", "https://walk.example/", "", "https://flood.example/")
+    zs = degrees(zones(spark, sf_dir).withColumns({"_ord": F.col("zone_id"), "zoning": F.col("zone")}))
+    # written once a session, as a search's sources are tables and not views
+    root = f"{files.shared_dir(spark)}/city-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    kept = lambda name, df: files.cached_table(spark, root, name, lambda: df, files.DAY)
+    grid = Grid(CELL * 1e-5, (0, 1, 2, 3, 4))
+    return Sources(kept("survey", degrees(survey)), kept("assess", assess), kept("addresses", pts), kept("zones", zs), grid, "https://records.example/", "https://walk.example/", "", "https://flood.example/")

@@ -10,7 +10,7 @@ whole batches.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,16 +164,41 @@ def geodesic_area(geom: Column) -> Column:
 
 
 def _edges_of(poly: list) -> np.ndarray:
-    """Edges (x0, y0, x1, y1) of all rings, closed."""
-    found = []
-    for rings in poly or []:
-        for r in rings or []:
-            p = np.array([(q["x"], q["y"]) for q in r], float)
-            if len(p) >= 3:
-                nxt = np.roll(p, -1, axis=0)
-                found.append(np.hstack([p, nxt]))
-    out = np.vstack(found) if found else np.zeros((0, 4))
-    return out[(out[:, 0] != out[:, 2]) | (out[:, 1] != out[:, 3])]
+    """Edges (x0, y0, x1, y1) of all rings of one shape, closed."""
+    return next(_shapes(pa.array([poly], _GEOM_TYPE)))
+
+
+_GEOM_TYPE = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+
+
+def _points_of(geom: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all points of a column of shapes: x, y, the place of the next one in its ring, and the row."""
+    n = len(geom)
+    polys = geom.fill_null([]) if geom.null_count else geom
+    rings = polys.flatten()
+    lines = rings.flatten()
+    points = lines.flatten()
+    count = lambda a: np.asarray(a.value_lengths().fill_null(0))
+    ring_rows = np.repeat(np.repeat(np.arange(n), count(polys)), count(rings))
+    size = count(lines)
+    last = np.repeat(np.cumsum(size) - 1, size)
+    at = np.arange(len(points))
+    nxt = np.where(at == last, np.repeat(np.cumsum(size) - size, size), at + 1)
+    x, y = (points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if len(points) else (np.zeros(0), np.zeros(0))
+    row = np.repeat(ring_rows, size)
+    whole = np.repeat(size >= 3, size)
+    return x, y, nxt, np.where(whole, row, -1)
+
+
+def _shapes(geom: pa.Array) -> Iterator[np.ndarray]:
+    """The edges of each row's shape, from the batch's points at once."""
+    x, y, nxt, row = _points_of(geom)
+    e = np.stack([x, y, x[nxt], y[nxt]], axis=1) if len(x) else np.zeros((0, 4))
+    keep = (row >= 0) & ((e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3]))
+    e, row = e[keep], row[keep]
+    bounds = np.searchsorted(row, np.arange(len(geom) + 1))
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        yield e[lo:hi]
 
 
 def _is_box(e: np.ndarray) -> bool:
@@ -292,17 +317,56 @@ def area(e: np.ndarray) -> float:
 # -- Arrow functions ---------------------------------------------------------------------------------------------------
 
 
-def _arrow(kind: str, one: Callable, *, value=None):
-    """An Arrow function of rows; a row that fails gives ``value``, not an error for the batch."""
-
-    def work(cols: tuple[pa.Array, ...], to: pa.DataType) -> pa.Array:
-        out = []
-        for row in zip(*[c.to_pylist() for c in cols], strict=True):
-            try:
-                out.append(None if any(v is None for v in row) else one(*row))
-            except (ValueError, IndexError, TypeError, ZeroDivisionError, FloatingPointError):
-                out.append(value)
-        return pa.array(out, to)
+def _rectangles(geom: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which rows of a column of shapes are one ring of five points along the axes, and the corners of those (else NaN)."""
+    x, y, _, row = _points_of(geom)
+    n = len(geom)
+    size = np.bincount(row[row >= 0], minlength=n)
+    polys = geom.fill_null([]) if geom.null_count else geom
+    one = np.asarray(polys.value_lengths().fill_null(0)) == 1
+    rings = np.zeros(n, np.int64)
+    rings[one] = np.asarray(polys.flatten().value_lengths().fill_null(0))[(np.cumsum(np.asarray(polys.value_lengths())) - 1)[one]]
+    ok = one & (rings == 1) & (size == 5)
+    first = np.searchsorted(np.where(row >= 0, row, -1), np.flatnonzero(ok)) if (row >= 0).all() else np.array([np.flatnonzero(row == k)[0] for k in np.flatnonzero(ok)], np.int64)
+    px, py = (v[first[:, None] + np.arange(5)] if len(first) else np.zeros((0, 5)) for v in (x, y))
+    same = lambda v, a, b: v[:, a] == v[:, b]
+    along = same(py, 0, 1) & same(px, 1, 2) & same(py, 2, 3) & same(px, 3, 4)
+    across = same(px, 0, 1) & same(py, 1, 2) & same(px, 2, 3) & same(py, 3, 4)
+    fits = (along | across) & same(px, 0, 4) & same(py, 0, 4)
+    at = np.flatnonzero(ok)[fits]
+    ok = np.zeros(n, bool)
+    ok[at] = True
+    corners = {}
+    for name, v, f in (("xmin", px, np.min), ("ymin", py, np.min), ("xmax", px, np.max), ("ymax", py, np.max)):
+        corners[name] = np.full(n, np.nan)
+        if len(at):
+            corners[name][at] = f(v[fits], axis=1)
+    return ok, corners
+
+
+def _by_row(kind: str, one: Callable, boxes: Callable | None = None) -> Callable:
+    """An Arrow function of columns of shapes; null where a shape is, or where ``one`` fails: that is no answer, not 0.
+
+    ``boxes`` does all rows at once where all shapes are rectangles.
+    """
+
+    def work(*cols: pa.Array) -> pa.Array:
+        left = np.logical_and.reduce([np.asarray(c.is_valid()) for c in cols])
+        out = np.full(len(left), None, object)
+        if boxes is not None:
+            found = [_rectangles(c) for c in cols]
+            plain = np.logical_and.reduce([left, *(ok for ok, _ in found)])
+            if plain.any():
+                out[plain] = boxes(*({k: v[plain] for k, v in corners.items()} for _, corners in found)).tolist()
+            left &= ~plain
+        if left.any():
+            for k, shapes in enumerate(zip(*map(_shapes, cols), strict=True)):
+                if left[k]:
+                    try:
+                        out[k] = one(*shapes)
+                    except (ValueError, IndexError, TypeError, ZeroDivisionError, FloatingPointError):
+                        out[k] = None
+        return pa.array(out.tolist(), _TYPES[kind])
 
     return work
 
@@ -310,62 +374,71 @@ def _arrow(kind: str, one: Callable, *, value=None):
 _TYPES = {"double": pa.float64(), "boolean": pa.bool_(), POINT: pa.struct([("x", pa.float64()), ("y", pa.float64())])}
 
 
-def _udf2(kind: str, one: Callable, value=None):
-    work, to = _arrow(kind, one, value=value), _TYPES[kind]
+def _two(kind: str, one: Callable, boxes: Callable | None = None) -> Callable:
+    work = _by_row(kind, one, boxes)
 
     @F.arrow_udf(kind)
     def call(a: pa.Array, b: pa.Array) -> pa.Array:
-        return work((a, b), to)
+        return work(a, b)
 
     return call
 
 
-def _udf1(kind: str, one: Callable, value=None):
-    work, to = _arrow(kind, one, value=value), _TYPES[kind]
+def _one(kind: str, one: Callable) -> Callable:
+    work = _by_row(kind, one)
 
     @F.arrow_udf(kind)
     def call(a: pa.Array) -> pa.Array:
-        return work((a,), to)
+        return work(a)
 
     return call
 
 
+def _common(p: dict, q: dict, high: Callable = lambda y: y, wide: Callable = lambda x: x) -> np.ndarray:
+    """The area common to pairs of boxes, after their coordinates are mapped."""
+    w = wide(np.minimum(p["xmax"], q["xmax"])) - wide(np.maximum(p["xmin"], q["xmin"]))
+    h = high(np.minimum(p["ymax"], q["ymax"])) - high(np.maximum(p["ymin"], q["ymin"]))
+    return np.maximum(w, 0.0) * np.maximum(h, 0.0)
+
+
 def overlap_area(a, b) -> Column:
-    """Planar area common to two polygons, in units of their coordinates; 0 where one of them fails."""
-    return _udf2("double", lambda p, q: overlap(_edges_of(p), _edges_of(q)), 0.0)(_c(a), _c(b))
+    """Planar area common to two polygons, in units of their coordinates; null where one of them fails."""
+    return _two("double", overlap, _common)(_c(a), _c(b))
 
 
 def overlap_area_sphere(a, b) -> Column:
-    """Square metres on the sphere common to two polygons of lon and lat."""
-    return _udf2("double", lambda p, q: overlap(_project_sphere(_edges_of(p)), _project_sphere(_edges_of(q))), 0.0)(_c(a), _c(b))
+    """Square metres on the sphere common to two polygons of lon and lat; null where one of them fails."""
+    boxes = lambda p, q: _common(p, q, lambda y: np.sin(np.radians(y)), np.radians) * EARTH_M**2
+    return _two("double", lambda p, q: overlap(_project_sphere(p), _project_sphere(q)), boxes)(_c(a), _c(b))
 
 
 def overlap_area_utm(a, b, zone: int = 14) -> Column:
-    """Square metres after projection common to two polygons of lon and lat."""
-    return _udf2("double", lambda p, q: overlap(_project_utm(_edges_of(p), zone), _project_utm(_edges_of(q), zone)), 0.0)(_c(a), _c(b))
+    """Square metres after projection common to two polygons of lon and lat; null where one of them fails."""
+    return _two("double", lambda p, q: overlap(_project_utm(p, zone), _project_utm(q, zone)))(_c(a), _c(b))
 
 
 def area_utm(a, zone: int = 14) -> Column:
-    return _udf1("double", lambda p: area(_project_utm(_edges_of(p), zone)))(_c(a))
+    return _one("double", lambda p: area(_project_utm(p, zone)))(_c(a))
 
 
 def polygons_touch(a, b) -> Column:
-    return _udf2("boolean", lambda p, q: touching(_edges_of(p), _edges_of(q)), False)(_c(a), _c(b))
+    """Whether two polygons share a point; null where one of them fails."""
+    boxes = lambda p, q: boxes_overlap(p.get, q.get)
+    return _two("boolean", touching, boxes)(_c(a), _c(b))
 
 
 def point_on_surface(a) -> Column:
-    def one(p):
-        at = inner_point(_edges_of(p))
+    def one(e: np.ndarray) -> dict | None:
+        at = inner_point(e)
         return None if at is None else {"x": at[0], "y": at[1]}
 
-    return _udf1(POINT, one)(_c(a))
+    return _one(POINT, one)(_c(a))
 
 
 def is_simple(a) -> Column:
     """False where edges of a polygon cross each other away from their ends."""
 
-    def one(p):
-        e = _edges_of(p)
+    def one(e: np.ndarray) -> bool:
         n = len(e)
         for i in range(n):
             others = e[[j for j in range(n) if j not in (i, (i + 1) % n, (i - 1) % n)]]
@@ -373,38 +446,35 @@ def is_simple(a) -> Column:
                 return False
         return bool(n)
 
-    return _udf1("boolean", one, False)(_c(a))
+    return _one("boolean", one)(_c(a))
 
 
 def _contains(geom: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
     """All rows of a batch at once: edges with their row, crossings counted by row."""
     n = len(geom)
-    x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y))
-    polys = geom.fill_null([]) if geom.null_count else geom
-    rings_of = polys.flatten()
-    points_of = rings_of.flatten()
-    points = points_of.flatten()
-    if not len(points):
+    qx, qy = (c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y))
+    px, py, nxt, row = _points_of(geom)
+    if not len(px):
         return pa.array(np.zeros(n, bool))
-    px, py = (points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    count = lambda a: np.asarray(a.value_lengths().fill_null(0))
-    row_of_ring = np.repeat(np.repeat(np.arange(n), count(polys)), count(rings_of))
-    size = count(points_of)
-    first = np.repeat(np.cumsum(size) - size, size)
-    at = np.arange(len(px))
-    last = np.repeat(np.cumsum(size) - 1, size)
-    nxt = np.where(at == last, first, at + 1)
-    row = np.repeat(row_of_ring, size)
-    x0, y0, x1, y1, qx, qy = px, py, px[nxt], py[nxt], x[row], y[row]
+    ok = row >= 0
+    x0, y0, x1, y1, row = px[ok], py[ok], px[nxt][ok], py[nxt][ok], row[ok]
+    qx, qy = qx[row], qy[row]
     cross = (x1 - x0) * (qy - y0) - (y1 - y0) * (qx - x0)
     on = (cross == 0) & (qx >= np.minimum(x0, x1)) & (qx <= np.maximum(x0, x1)) & (qy >= np.minimum(y0, y1)) & (qy <= np.maximum(y0, y1))
     up = (y0 <= qy) != (y1 <= qy)
     with np.errstate(divide="ignore", invalid="ignore"):
         hit = up & (x0 + (qy - y0) * (x1 - x0) / (y1 - y0) > qx)
-    inside = (np.bincount(row, hit, n) % 2 == 1) | (np.bincount(row, on, n) > 0)
-    return pa.array(inside)
+    return pa.array((np.bincount(row, hit, n) % 2 == 1) | (np.bincount(row, on, n) > 0))
 
 
 def point_in_polygon(geom, x, y) -> Column:
     """Inside or on the boundary."""
     return F.arrow_udf(_contains, "boolean")(_c(geom), _c(x).cast("double"), _c(y).cast("double"))
+
+
+def crs_matches(left: str, right: str) -> None:
+    """Raise unless two layers have one reference system, of lon and lat, by their names; None is unknown."""
+    known = {"EPSG:4326", "OGC:CRS84", "URN:OGC:DEF:CRS:OGC:1.3:CRS84", "URN:OGC:DEF:CRS:EPSG::4326"}
+    for name in (left, right):
+        if name.upper() not in known:
+            raise ValueError(f"the reference system {name} is not lon and lat")

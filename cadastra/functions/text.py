@@ -282,4 +282,5 @@ def date_text(x: Cols) -> Column:
 def sample_days(first: Cols, last: Cols, step_minutes: int = 15) -> Column:
     """Days from first to last with one step more, at least a step, two decimals; 1 if unknown."""
     seconds = F.timestamp_diff("SECOND", _c(first), _c(last)) + 60 * step_minutes
-    return F.coalesce(F.floor(F.greatest(seconds, F.lit(60 * step_minutes)) / 86400 * 100 + 0.5) / 100, F.lit(1.0))
+    days = F.floor(F.greatest(seconds, F.lit(60 * step_minutes)) / 86400 * 100 + 0.5) / 100  # greatest() passes nulls over
+    return F.when(seconds.isNotNull(), days).otherwise(F.lit(1.0))

@@ -22,12 +22,12 @@ def contains(col: str, value: str | None, fold: bool = True) -> Column | None:
     return (F.upper(F.col(col)) if fold else F.col(col)).like(pattern)
 
 
-def rolls(value: str | None, col: str = "roll_number") -> Column | None:
-    """One token: contains; several: any of the normalised ids, the first 500 at most."""
+def rolls(value: str | None, col: str = "roll_number", most: int | None = None) -> Column | None:
+    """One token: contains; several: any of the normalised ids, with ``most`` (MOST_ROLLS, say) only the first ones."""
     found = [x for x in re.split(r"[\s,;]+", value or "") if x]
     if len(found) <= 1:
         return contains(col, found[0] if found else None)
-    ids = [x for x in map(t.normalize_roll_text, found) if x][:MOST_ROLLS]
+    ids = [x for x in map(t.normalize_roll_text, found) if x][:most]
     return F.col(col).isin(ids) if ids else None
 
 

@@ -11,6 +11,7 @@ need no distinct.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,10 @@ class Grid:
 
 
 def grid_of(cell: float, tables: list[DataFrame]) -> Grid:
-    """A grid for parts of tables, padded or not: all levels up to one above their largest."""
-    top = max((k for df in tables for k in levels(df, cell)), default=0)
-    return Grid(cell, tuple(range(top + 2)))
+    """A grid for parts of tables, padded or not: all levels up to one above their largest. One job, over boxes only."""
+    tops = [df.agg(F.max(_level(cell)).alias("k")) for df in tables]
+    found = reduce(lambda a, b: a.union(b), tops).agg(F.coalesce(F.max("k"), F.lit(0))).first()[0] if tops else 0
+    return Grid(cell, tuple(range(found + 2)))
 
 
 def levels(df: DataFrame, cell: float) -> list[int]:
@@ -74,7 +76,7 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float | Grid, pad: float
     return a.join(b, on).drop(*extra)
 
 
-def box_semi_join(candidates: DataFrame, wanted: DataFrame, cell: float, key: str, pad: float = PAD, mode: str = "complete") -> DataFrame:
+def box_semi_join(candidates: DataFrame, wanted: DataFrame, cell: float | Grid, key: str, pad: float = PAD, mode: str = "complete") -> DataFrame:
     """Candidates whose box meets (complete) or lies within (compat) a padded box of ``wanted``; key is unique or null."""
     pairs = grid_join(wanted.select(*g.BOX), candidates.select("_sid", *g.BOX) if "_sid" in candidates.columns else candidates.select(F.col(key).alias("_sid"), *g.BOX), cell, pad)
     if mode == "compat":
@@ -98,13 +100,13 @@ def points(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py)).withColumns({"xmin": px, "ymin": py, "xmax": px, "ymax": py})
 
 
-def pip_join(polygons: DataFrame, pts: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
+def pip_join(polygons: DataFrame, pts: DataFrame, cell: float | Grid, x: str = "x", y: str = "y") -> DataFrame:
     """Pairs of a polygon (columns l_...) and a point (r_...) inside it or on its boundary; boxes are tested before shapes."""
     pairs = grid_join(polygons, points(pts, x, y), cell)
     return pairs.where(g.point_in_polygon("l_geom", f"r_{x}", f"r_{y}"))
 
 
-def parcel_matches(survey: DataFrame, assess: DataFrame, cell: float) -> DataFrame:
+def parcel_matches(survey: DataFrame, assess: DataFrame, cell: float | Grid) -> DataFrame:
     """s_id, a_id (their _ord): the assessment's centroid in the survey lot, or the middle of the lot's box in the assessment.
 
     Two point joins and, for assessments without a centroid, a polygon join; their union is distinct.
@@ -132,7 +134,7 @@ def matched(rows: DataFrame, matches: DataFrame, mine: str, other: DataFrame, th
     return (out.withColumn("_rowKey", F.coalesce("_k", "_rowKey")) if "_rowKey" in rows.columns else out.withColumn("_rowKey", F.col("_k"))).drop("_k")
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, cell: float, area=g.overlap_area) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, cell: float | Grid, area=g.overlap_area) -> DataFrame:
     """Pairs of polygons with the area they share, positive ones only; boxes first, then shapes."""
     pairs = grid_join(left, right, cell)
     return pairs.withColumn("shared", area("l_geom", "r_geom")).where("shared > 0 and not isnan(shared)")

@@ -97,6 +97,15 @@ def sort_rows(df: DataFrame, key: str = "roll", ascending: bool = True, tie: str
     return df.orderBy(*sort_order(SORT_KEYS[key](), ascending, tie))
 
 
+def numbered(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """df with each row's place in an order, from 1: sorted by ranges, then counted from the sizes of the ranges before."""
+    rows = df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).persist()
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # one row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("_before", before).select("_range", "_first", "_before")
+    return rows.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_range", "_at", "_first", "_before")
+
+
 # -- unions and distinct rows ------------------------------------------------------------------------------------------
 
 

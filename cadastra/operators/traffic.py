@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +38,18 @@ def studies(days: DataFrame) -> DataFrame:
     return out.select("names.*", "min_count_date", "max_count_date", "total", "intervals", "sample_days")
 
 
+def study_days(days: Column, first: Column, last: Column) -> Column:
+    """Sample days where they are known and positive, else the days from the first count to the last."""
+    return F.coalesce(F.when(days > 0, days.cast("double")), t.sample_days(first, last))
+
+
 def average_daily(total: Column, days: Column) -> Column:
     return F.when(days > 0, F.try_divide(total, days))
 
 
 def latest_per_corridor(rows: DataFrame) -> DataFrame:
     """Of each corridor, either way round, the newest study with a positive average."""
-    avg = average_daily(F.col("total"), F.col("sample_days"))
+    avg = average_daily(F.col("total"), study_days(F.col("sample_days"), F.col("min_count_date"), F.col("max_count_date")))
     rows = rows.withColumns({"corridor": t.corridor_key("street", "street_from", "street_to"), "avg": avg}).where("corridor is not null and avg > 0")
     newest = first_by(rows, ["corridor"], [F.desc("max_count_date"), "study_id", "street", "street_from", "street_to", "location_description"])
     return newest.withColumn("avg_daily_volume", F.floor(F.col("avg") + 0.5)).drop("avg")
@@ -136,3 +145,21 @@ def station_rows(counts: DataFrame) -> DataFrame:
     rows = stations(counts.where("lon is not null and lat is not null"), ["site", "lon", "lat"])
     v = F.col("avg_daily_volume")
     return rows.select(F.lit("station").alias("traffic_kind"), "site", "lon", "lat", v, t.volume_label(v).alias("volume_label"), t.thousands(v).alias("volume_text"), "count_start", "count_end", "interval_count", F.lit("Permanent Count Station Traffic Counts").alias("source_name"))
+
+
+def volumes(stations_of: Callable[[], DataFrame], corridors_of: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """Stations and corridors as one layer, and what is missing: one branch may fail to be read, not both."""
+    parts, failed = {}, {}
+    for name, make in (("stations", stations_of), ("corridors", corridors_of)):
+        try:
+            parts[name] = make()
+        except (PySparkException, OSError) as e:
+            failed[name] = e
+    if not parts:
+        raise RuntimeError("neither stations nor corridors can be read") from failed["stations"]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values()), [f"{name} are left out: {type(e).__name__}" for name, e in failed.items()]
+
+
+def volume_lines(counts: DataFrame, roads: DataFrame) -> DataFrame:
+    """The lines layer: of each segment the newest corridor study."""
+    return best_per_segment(corridors(latest_per_corridor(studies(daily(counts))), roads))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,12 @@ class Result:
     survey: DataFrame | None = None
     assess: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
+    #: Frames kept in memory, as several parts of the result read them: at most USER_LIMIT parcels and what lies around them.
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
 
 
 def survey_rows(survey: DataFrame, plan=None, lot=None, block=None, description=None) -> tables.Limited:
@@ -83,7 +90,7 @@ def by_address_points(src: Sources, inputs: dict) -> DataFrame | None:
     where = predicates.address(inputs.get("address_from"), inputs.get("address_to"), inputs.get("address_street"))
     if not where:
         return None
-    pts = address_points(src.addresses, inputs.get("address_from"), inputs.get("address_to"), inputs.get("address_street")).rows
+    pts = address_points(src.addresses, inputs.get("address_from"), inputs.get("address_to"), inputs.get("address_street")).probe  # all of them
     extra = [p for p in (predicates.rolls(inputs.get("roll")), predicates.zoning(inputs.get("zoning")), predicates.dwelling_units(inputs.get("du_mode"), inputs.get("du_min"))) if p is not None]
     assess = src.assess
     for p in extra:
@@ -92,21 +99,30 @@ def by_address_points(src: Sources, inputs: dict) -> DataFrame | None:
     return assess.join(hit, "_ord", "left_semi")
 
 
-def enriched(src: Sources, assess: DataFrame) -> DataFrame:
-    """Assessments with all addresses and their two main zones, as far as those tables are there."""
-    if src.addresses is not None:
-        assess, _ = with_addresses(assess, src.addresses, src.cell)
-    if src.zones is not None:
-        return zoning.enrich(assess, src.zones, src.cell)
-    return assess.withColumns({c: F.lit(None).cast("double" if c.endswith("pct") else "string") for c in ENRICHED})
+def enriched(src: Sources, assess: DataFrame, notes: list[str] | None = None) -> DataFrame:
+    """Assessments with all addresses and their two main zones, as far as those tables are there and can be read.
+
+    A search goes on without a table that cannot be planned; ``notes`` then says so.
+    """
+    for what, step in (("addresses", lambda rows: with_addresses(rows, src.addresses, src.cell)[0]), ("zones", lambda rows: zoning.enrich(rows, src.zones, src.cell))):
+        if getattr(src, what) is None:
+            continue
+        try:
+            assess = step(assess)
+        except (AnalysisException, PySparkException) as e:
+            if notes is None:
+                raise
+            notes.append(f"{what} are left out: {type(e).__name__}")
+    missing = [c for c in ENRICHED if c not in assess.columns]
+    return assess.withColumns({c: F.lit(None).cast("double" if c.endswith("pct") else "string") for c in missing})
 
 
-def expanded(src: Sources, **inputs) -> tuple[DataFrame, tables.Limited]:
+def expanded(src: Sources, notes: list[str] | None = None, **inputs) -> tuple[DataFrame, tables.Limited]:
     """Direct matches first, then those found by address points, each roll once; enriched."""
     direct = assess_rows(src.assess, **inputs)
     other = by_address_points(src, inputs)
     rows = direct.rows if other is None else tables.union_first_seen([direct.rows, other], "roll_number")
-    return enriched(src, rows), direct
+    return enriched(src, rows.persist(), notes), direct
 
 
 def join_survey(survey: DataFrame, assess: DataFrame, matches: DataFrame) -> DataFrame:
@@ -131,27 +147,34 @@ def join_assess(assess: DataFrame, survey: DataFrame, matches: DataFrame, partia
 
 def legal_search(src: Sources, **inputs) -> Result:
     found = survey_rows(src.survey, **{k: inputs.get(k) for k in LEGAL_INPUTS})
-    survey = found.rows.withColumn("_rowKey", tables.row_key("s", "id"))
+    survey = found.rows.withColumn("_rowKey", tables.row_key("s", "id")).persist()
     candidates = spatial.box_semi_join(src.assess.withColumn("_sid", F.col("_ord")), survey, src.cell, "_ord").drop("_sid")
-    assess = enriched(src, candidates)
-    matches = spatial.parcel_matches(survey, assess, src.cell)
+    notes: list[str] = []
+    assess = enriched(src, candidates.persist(), notes).persist()
+    matches = spatial.parcel_matches(survey, assess, src.cell).persist()
     rows = join_survey(survey, assess, matches)
     context = spatial.matched(assess, matches, "a_id", survey, "s_id")
-    return Result(rows, found, "legal", survey, context)
+    return Result(rows, found, "legal", survey, context, notes, [survey, candidates, assess, matches])
 
 
 def assessment_search(src: Sources, **inputs) -> Result:
     asked = {k: inputs.get(k) for k in (*ASSESS_INPUTS, "du_min")}
-    assess, found = expanded(src, **asked)
-    assess = assess.withColumn("_rowKey", tables.row_key("a", "roll_number"))
-    survey = spatial.box_semi_join(src.survey.withColumn("_sid", F.col("_ord")), assess, src.cell, "_ord").drop("_sid")
-    matches = spatial.parcel_matches(survey, assess, src.cell)
+    notes: list[str] = []
+    assess, found = expanded(src, notes, **asked)
+    assess = assess.withColumn("_rowKey", tables.row_key("a", "roll_number")).persist()
+    survey = spatial.box_semi_join(src.survey.withColumn("_sid", F.col("_ord")), assess, src.cell, "_ord").drop("_sid").persist()
+    matches = spatial.parcel_matches(survey, assess, src.cell).persist()
     # a lot is partial when any two assessments match it, in the search or not
     everyone = spatial.box_semi_join(src.assess.withColumn("_sid", F.col("_ord")), survey, src.cell, "_ord").drop("_sid")
     partial = spatial.partial_lots(spatial.parcel_matches(survey, everyone, src.cell))
     rows = join_assess(assess, survey, matches, partial)
     layer = spatial.matched(survey, matches, "s_id", assess, "a_id")
-    return Result(rows, found, "assessment", layer, assess)
+    return Result(rows, found, "assessment", layer, assess, notes, [assess, survey, matches])
+
+
+def layers(found: Result) -> DataFrame:
+    """Both layers of a result as one: parcel_layer, _rowKey, geom, box and what either knows of a parcel."""
+    return tables.union_tagged({"survey": found.survey, "assess": found.assess}, "parcel_layer")
 
 
 def missing_rolls(asked: str | None, found: int) -> int:

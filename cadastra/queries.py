@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import city
@@ -12,6 +13,8 @@ from .functions import geometry as g
 from .functions import style
 from .functions import text as t
 from .operators import merge, overlays, predicates, spatial, tables, traffic, zoning
+from .plans import search, xref
+from .sources import export, files
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -156,7 +159,7 @@ def page_offset(spark, d):
 @query("SELECT id, k, row_number() OVER (ORDER BY nullif(k, '') DESC NULLS LAST, id) AS pos FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE lower(o_orderpriority) END AS k FROM orders)")
 def sort_nulls_last(spark, d):
     df = city.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.lower("o_orderpriority")).alias("k"))
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*tables.sort_order(tables.text_key("k"), False, "id"))))
+    return tables.numbered(df, tables.sort_order(tables.text_key("k"), False, "id"))
 
 
 @query("""SELECT id, v, row_number() OVER (ORDER BY nullif(v, '') IS NULL, try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), v, id) AS pos FROM (SELECT p_partkey AS id,
@@ -164,7 +167,7 @@ CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN p_partkey || 'a'
 def natural_sort(spark, d):
     k = F.col("p_partkey")
     df = city.table(spark, d, "part").select(k.alias("id"), F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(k.cast("string"), F.lit("a"))).otherwise((k % 37).cast("string")).alias("v"))
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*tables.sort_order(tables.smart_key("v"), True, "id"))))
+    return tables.numbered(df, tables.sort_order(tables.smart_key("v"), True, "id"))
 
 
 @query("SELECT n_nationkey AS k, n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_regionkey, r_name, 'region' FROM region")
@@ -221,21 +224,21 @@ def fit_extent(spark, d):
 
 @query(f"SELECT a.id, b.zone_id FROM parcels a JOIN zones b ON {_MEET}", "parcels", "zones")
 def rect_join_inner(spark, d):
-    return spatial.grid_join(city.parcels(spark, d), city.zones(spark, d), city.CELL).select(F.col("l_id").alias("id"), F.col("r_zone_id").alias("zone_id"))
+    return spatial.grid_join(city.parcels(spark, d), city.zones(spark, d), city.GRID).select(F.col("l_id").alias("id"), F.col("r_zone_id").alias("zone_id"))
 
 
 @query(f"SELECT b.zone_id FROM zones b WHERE EXISTS (SELECT 1 FROM parcels a WHERE upper(a.roll) LIKE '%012%' AND {_MEET.replace('a.xmax', 'a.xmax + 2').replace('a.xmin', 'a.xmin - 2').replace('a.ymax', 'a.ymax + 2').replace('a.ymin', 'a.ymin - 2')})", "parcels", "zones")
 def rect_semi(spark, d):
-    return spatial.box_semi_join(city.zones(spark, d), city.parcels(spark, d).where(predicates.contains("roll", "012")), city.CELL, "zone_id", 2).select("zone_id")
+    return spatial.box_semi_join(city.zones(spark, d), city.parcels(spark, d).where(predicates.contains("roll", "012")), city.GRID, "zone_id", 2).select("zone_id")
 
 
 @query("SELECT a.id FROM parcels a WHERE EXISTS (SELECT 1 FROM zones b WHERE a.xmin >= b.xmin - 2 AND a.xmax <= b.xmax + 2 AND a.ymin >= b.ymin - 2 AND a.ymax <= b.ymax + 2)", "parcels", "zones")
 def rect_semi_compat(spark, d):
-    return spatial.box_semi_join(city.parcels(spark, d), city.zones(spark, d), city.CELL, "id", 2, "compat").select("id")
+    return spatial.box_semi_join(city.parcels(spark, d), city.zones(spark, d), city.GRID, "id", 2, "compat").select("id")
 
 
 def _first_zone(spark, d) -> DataFrame:
-    met = spatial.grid_join(city.parcels(spark, d), city.zones(spark, d).where("zone = 'Brand#11'"), city.CELL)
+    met = spatial.grid_join(city.parcels(spark, d), city.zones(spark, d).where("zone = 'Brand#11'"), city.GRID)
     return met.groupBy(F.col("l_id").alias("id")).agg(F.min("r_zone_id").alias("zone_id"), F.count(F.lit(1)).alias("n"))
 
 
@@ -253,7 +256,7 @@ _IN = "p.x BETWEEN a.xmin AND a.xmax AND p.y BETWEEN a.ymin AND a.ymax"
 
 
 def _pip(spark, d) -> DataFrame:
-    return spatial.grid_join(city.parcels(spark, d), spatial.points(city.points(spark, d), "x", "y"), city.CELL)
+    return spatial.grid_join(city.parcels(spark, d), spatial.points(city.points(spark, d), "x", "y"), city.GRID)
 
 
 @query(f"SELECT a.id, p.addr_id FROM parcels a JOIN points p ON {_IN}", "parcels", "points")
@@ -265,7 +268,7 @@ def pip_join(spark, d):
 def pip_polygon(spark, d):
     """The same with real polygons and the Arrow test."""
     shapes = city.parcels(spark, d).withColumn("geom", g.rectangle("xmin", "ymin", "xmax", "ymax"))
-    return spatial.pip_join(shapes, city.points(spark, d), city.CELL).select(F.col("l_id").alias("id"), F.col("r_addr_id").alias("addr_id"))
+    return spatial.pip_join(shapes, city.points(spark, d), city.GRID).select(F.col("l_id").alias("id"), F.col("r_addr_id").alias("addr_id"))
 
 
 _SLICES = """slices AS (SELECT l.parcel, l.n, l.parcel * 8 + l.n AS lot_id, p.xmin + 2 * (l.n - 1) AS xmin, p.xmin + 2 * l.n AS xmax, p.ymin, p.ymax FROM lots l JOIN parcels p ON l.parcel = p.id)"""
@@ -283,7 +286,7 @@ def _matches(spark, d) -> DataFrame:
     rolls = city.parcels(spark, d).withColumns({"geom": g.rectangle("xmin", "ymin", "xmax", "ymax"), "_ord": F.col("id")})
     cx, cy = g.center(F.col)
     rolls = rolls.withColumns({"centroid_lon": cx.cast("string"), "centroid_lat": cy.cast("string")})
-    return spatial.parcel_matches(lots, rolls, city.CELL)
+    return spatial.parcel_matches(lots, rolls, city.GRID)
 
 
 _BOTH = """m AS (SELECT s.lot_id, a.id FROM slices s JOIN parcels a ON (a.xmin + a.xmax) / 2.0 BETWEEN s.xmin AND s.xmax AND (a.ymin + a.ymax) / 2.0 BETWEEN s.ymin AND s.ymax
@@ -307,7 +310,7 @@ _SUMS = "sums AS (SELECT id, zone, sum(m) AS m, max(whole) AS whole, min(zone_id
 
 
 def _shares(spark, d) -> DataFrame:
-    met = spatial.grid_join(city.parcels(spark, d).select("id", *g.BOX), city.zones(spark, d), city.CELL)
+    met = spatial.grid_join(city.parcels(spark, d).select("id", *g.BOX), city.zones(spark, d), city.GRID)
     whole = (F.col("l_xmax") - F.col("l_xmin")) * (F.col("l_ymax") - F.col("l_ymin"))
     return met.select(F.col("l_id").alias("id"), F.col("r_zone").alias("zone"), F.col("r_zone_id").alias("zone_id"), _shared().alias("m"), whole.alias("whole")).where("m > 0")
 
@@ -329,7 +332,7 @@ def zoning_pct(spark, d):
 def overlap_polygon(spark, d):
     """Area shared by real polygons, by the Arrow function."""
     shape = lambda df: df.withColumn("geom", g.rectangle("xmin", "ymin", "xmax", "ymax"))
-    met = spatial.overlap_pairs(shape(city.parcels(spark, d)), shape(city.zones(spark, d)), city.CELL)
+    met = spatial.overlap_pairs(shape(city.parcels(spark, d)), shape(city.zones(spark, d)), city.GRID)
     return met.select(F.col("l_id").alias("id"), F.col("r_zone_id").alias("zone_id"), "shared")
 
 
@@ -450,7 +453,7 @@ def segment_crossing(spark, d):
 def corridor_segments(spark, d):
     r = city.roads(spark, d).where("vertical = 0")
     boxes = r.withColumns({"xmin": F.col("lo") - 12, "xmax": F.col("hi") + 12, "ymin": F.col("at") - 5, "ymax": F.col("at") + 5})
-    met = spatial.grid_join(boxes, spatial.points(city.points(spark, d), "x", "y"), city.CELL)
+    met = spatial.grid_join(boxes, spatial.points(city.points(spark, d), "x", "y"), city.GRID)
     near = g.within_corridor(F.col("r_x").cast("double"), F.col("r_y").cast("double"), g.point("l_lo", "l_at"), g.point("l_hi", "l_at"), F.lit(5.0))
     return met.where(near).select(F.col("l_road").alias("road"), F.col("r_addr_id").alias("addr_id"))
 
@@ -511,10 +514,10 @@ def date_formats(spark, d):
     return city.table(spark, d, "events").select("event_id", t.iso_text("ts").alias("iso"), t.date_text(t.iso_text("ts")).alias("day"))
 
 
-@query("SELECT street, floor(greatest(date_diff('second', min(ts), max(ts)) + 900, 900) / 86400.0 * 100 + 0.5) / 100 AS days FROM counts GROUP BY street", "counts")
+@query("SELECT street, CASE WHEN street % 5 = 0 THEN 1.0 ELSE floor(greatest(date_diff('second', min(ts), max(ts)) + 900, 900) / 86400.0 * 100 + 0.5) / 100 END AS days FROM counts GROUP BY street", "counts")
 def sample_days(spark, d):
     got = city.counts(spark, d).groupBy("street").agg(F.min(F.date_trunc("SECOND", "ts").cast("timestamp_ntz")).alias("a"), F.max(F.date_trunc("SECOND", "ts").cast("timestamp_ntz")).alias("b"))
-    return got.select("street", t.sample_days("a", "b").alias("days"))
+    return got.select("street", t.sample_days(F.when(F.col("street") % 5 != 0, F.col("a")), "b").alias("days"))
 
 
 @query("SELECT p_partkey, CASE WHEN contains(v, ',') OR contains(v, '\"') THEN '\"' || replace(v, '\"', '\"\"') || '\"' ELSE v END AS cell FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ',x' WHEN 1 THEN 'a\"' || p_name ELSE p_name END AS v FROM part)")
@@ -570,7 +573,7 @@ SELECT id, other, floor(m * 1000.0 / whole + 0.5) / 10 AS pct FROM shares WHERE
 def xref_pairs(spark, d):
     p = city.parcels(spark, d).select("id", *g.BOX)
     other = p.selectExpr("id AS other", "xmin + 3 AS xmin", "ymin + 2 AS ymin", "xmax + 3 AS xmax", "ymax + 2 AS ymax")
-    met = spatial.grid_join(p, other, city.CELL).withColumn("m", _shared()).where("m > 0")
+    met = spatial.grid_join(p, other, city.GRID).withColumn("m", _shared()).where("m > 0")
     pct = t.percent("m", (F.col("l_xmax") - F.col("l_xmin")) * (F.col("l_ymax") - F.col("l_ymin")))
     return met.select(F.col("l_id").alias("id"), F.col("r_other").alias("other"), pct.alias("pct")).where(predicates.any_overlap_worth("pct", "pct"))
 
@@ -582,20 +585,357 @@ def xref_left_null_safe(spark, d):
     return a.join(b, a["k"].eqNullSafe(b["bk"]), "left").select("k", "s", "n").distinct()
 
 
-# -- whole flows, checked by rows only ---------------------------------------------------------------------------------
+# -- more labels and shapes ---------------------------------------------------------------------------------------------
 
+_THOUSANDS = "CASE WHEN {0} > 0 THEN format('{{:,}}', floor({0} + 0.5)::BIGINT) END"
 
-@query()
+
+@query(f"""SELECT p_partkey, {_THOUSANDS.format('(p_size * 1000)')} AS area, printf('%.6f', p_partkey / 8.0) AS lat, 'Z' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' (' || p_size || '%)' END AS second,
+CASE WHEN length(p_name) > 5 THEN substr(p_name, 1, 5) || '…' ELSE p_name END AS short, printf('%.2f', p_size * 4356.0 / 43560) AS acres, {_THOUSANDS.format('(p_size * 4356)')} || ' sf (' || printf('%.2f', p_size * 4356.0 / 43560) || ' ac)' AS size_text FROM part""")
+def label_texts(spark, d):
+    df, k = city.table(spark, d, "part"), F.col("p_partkey")
+    zone = F.concat(F.lit("Z"), "p_size")
+    return df.select(
+        "p_partkey",
+        t.area_text(F.col("p_size") * 1000).alias("area"),
+        t.coordinate_text(k / 8).alias("lat"),
+        t.second_zone(zone, F.when(k % 3 != 0, F.col("p_size"))).alias("second"),
+        t.shortened("p_name", 5).alias("short"),
+        t.acres(F.col("p_size") * 4356).alias("acres"),
+        t.size_text(F.col("p_size") * 4356).alias("size_text"),
+    )
+
+
+@query("""SELECT id, printf('%.6f,%.6f,%.6f,%.6f', xmin / 8.0, ymin / 8.0, xmax / 8.0, ymax / 8.0) AS box_key,
+least(printf('%.6f,%.6f', xmin / 8.0, ymin / 8.0), printf('%.6f,%.6f', xmax / 8.0, ymin / 8.0)) || '|' || greatest(printf('%.6f,%.6f', xmin / 8.0, ymin / 8.0), printf('%.6f,%.6f', xmax / 8.0, ymin / 8.0)) AS edge_key,
+'lat=' || printf('%.6f', ymin / 8.0) || '&lon=' || printf('%.6f', xmin / 8.0) || '&label=' || id || '+MAIN+ST' AS query FROM parcels""", "parcels")
+def keys_and_points(spark, d):
+    p = city.parcels(spark, d).withColumns({c: F.col(c) / 8 for c in g.BOX})
+    link = t.point_url("", F.col("ymin").cast("string"), F.col("xmin").cast("string"), F.concat("id", F.lit(" MAIN ST, other")))
+    return p.select("id", g.box_key().alias("box_key"), g.edge_key("xmax", "ymin", "xmin", "ymin").alias("edge_key"), F.substring(link, 2, 200).alias("query"))
+
+
+@query("SELECT l_orderkey AS grp, string_agg(v, ', ' ORDER BY v) AS lots FROM (SELECT DISTINCT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'A' ELSE 'B' END || l_linenumber AS v FROM lineitem) GROUP BY 1")
+def lot_natural(spark, d):
+    v = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "A").otherwise("B"), "l_linenumber")
+    return city.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("grp")).agg(F.collect_list(v).alias("v")).select("grp", t.lot_list("v").alias("lots"))
+
+
+@query("""SELECT id, row_number() OVER (ORDER BY v DESC NULLS LAST, id) AS pos FROM (SELECT id, CASE WHEN id % 7 > 0 THEN value END AS v FROM parcels)""", "parcels")
+def sort_by_value(spark, d):
+    df = city.parcels(spark, d).select("id", F.when(F.col("id") % 7 > 0, F.col("value").cast("string")).otherwise("").alias("total_assessed_value"))
+    return tables.numbered(df, tables.sort_order(tables.SORT_KEYS["value"](), False, "id")).select("id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("""SELECT a.id, a.x, a.y, round(a.d, 9) AS dist FROM (SELECT p.addr_id AS id, greatest(r.lo, least(r.hi, p.x))::DOUBLE AS x, r.at::DOUBLE AS y, sqrt(power(p.x - greatest(r.lo, least(r.hi, p.x)), 2) + power(p.y - r.at, 2)) AS d
+FROM points p JOIN roads r ON r.vertical = 0 AND r.road = p.addr_id % 10 + 1) a""", "points", "roads")
+def nearest_point(spark, d):
+    r = city.roads(spark, d).where("vertical = 0")
+    df = city.points(spark, d).withColumn("road", F.col("addr_id") % 10 + 1).join(r, "road")
+    at = g.nearest_on_segment(g.point("x", "y"), g.point("lo", "at"), g.point("hi", "at"))
+    df = df.withColumn("pt", at)
+    return df.select(F.col("addr_id").alias("id"), F.col("pt.x").alias("x"), F.col("pt.y").alias("y"), F.round(F.sqrt(g.distance_sq("pt.x", "pt.y", "x", "y")), 9).alias("dist"))
+
+
+@query("SELECT id, round(least(0.01::DOUBLE, greatest(0.002::DOUBLE, (xmax - xmin) * 0.00018::DOUBLE)), 12) AS tol, floor(6378137.0 ^ 2 * radians((xmax - xmin) * 1e-5) * (sin(radians(49 + ymax * 1e-5)) - sin(radians(49 + ymin * 1e-5))) + 0.3217)::BIGINT AS m2 FROM parcels", "parcels")
+def areas_and_tolerances(spark, d):
+    p = city.parcels(spark, d)
+    lon, lat = (lambda c: F.lit(-99.0) + F.col(c) * F.lit(1e-5)), (lambda c: F.lit(49.0) + F.col(c) * F.lit(1e-5))
+    p = p.withColumn("geom", g.rectangle(lon("xmin"), lat("ymin"), lon("xmax"), lat("ymax")))
+    tol = g.corridor_tolerance(F.col("xmin") * 0.001, F.lit(0.0), F.col("xmax") * 0.001, F.lit(0.0))
+    return p.select("id", F.round(tol, 12).alias("tol"), F.floor(g.geodesic_area(F.col("geom")) + 0.3217).alias("m2"))
+
+
+@query(f"SELECT a.id, b.zone_id FROM parcels a JOIN zones b ON {_MEET} WHERE b.zone_id % 5 = 0", "parcels", "zones")
+def touching_polygons(spark, d):
+    """Shapes that touch: rectangles by expression, the same with a point more in Python."""
+    p = city.parcels(spark, d).withColumn("geom", g.rectangle("xmin", "ymin", "xmax", "ymax"))
+    z = city.zones(spark, d).where("zone_id % 5 = 0")
+    ring = F.array(*[g.point(x, y) for x, y in (("xmin", "ymin"), ((F.col("xmin") + F.col("xmax")) / 2, F.col("ymin")), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))])
+    z = z.withColumn("geom", F.when(F.col("zone_id") % 2 == 0, g.rectangle("xmin", "ymin", "xmax", "ymax")).otherwise(F.array(F.array(ring))))
+    met = spatial.grid_join(p, z, city.GRID).where(g.polygons_touch("l_geom", "r_geom"))
+    return met.select(F.col("l_id").alias("id"), F.col("r_zone_id").alias("zone_id"))
+
+
+@query("""SELECT n_name AS label, 'Precinct' AS plan_kind, '#8e6cb3' AS fill, '#5a3d8a' AS line FROM nation UNION ALL SELECT r_name, 'Major Redevelopment', '#c47bd6', '#7a3a92' FROM region""")
+def plan_layers(spark, d):
+    n, r = (city.table(spark, d, x) for x in ("nation", "region"))
+    return overlays.secondary_plans(n.select(F.col("n_name").alias("precinct_name")), r.select(F.col("r_name").alias("feature_name"))).select("label", "plan_kind", "fill", "line")
+
+
+@query("""SELECT r_name AS name, 'Mall' AS pdo_kind, '#2c8aa8' AS fill FROM region UNION ALL SELECT n_name, 'Urban Corridor', '#4fb3c7' FROM nation UNION ALL SELECT r_name, 'Regional Corridor', '#1f6680' FROM region""")
+def corridor_layers(spark, d):
+    name = lambda t, c: overlays.infill_area(city.table(spark, d, t)).select(F.col(c).alias("name"))
+    return overlays.malls_and_corridors(name("region", "r_name"), name("nation", "n_name"), name("region", "r_name")).select("name", "pdo_kind", "fill")
+
+
+@query("""SELECT s_name AS site, CASE s_suppkey % 3 WHEN 0 THEN '#c0392b' WHEN 1 THEN '#e67e22' ELSE '#7f8c8d' END AS colour, s_suppkey / 4.0 AS lat,
+'<strong>' || replace(s_name, '#', '#') || '</strong><br>A &amp; B, Here ' || CASE s_suppkey % 3 WHEN 0 THEN '<br>Designated Contaminated Site' WHEN 1 THEN '<br>Designated Impacted Site' ELSE '' END
+|| CASE WHEN s_suppkey % 2 = 0 THEN '<br><a href="https://r.example/' || s_suppkey || '">Registry record</a>' ELSE '' END || '<br><small>Site ID: ' || s_suppkey || '</small>' AS popup FROM supplier WHERE s_suppkey % 5 > 0 AND s_nationkey % 2 = 0""")
+def sites_and_popups(spark, d):
+    k = F.col("s_suppkey")
+    kind = F.when(k % 3 == 0, "Designated Contaminated Site").when(k % 3 == 1, "Designated Impacted Site")
+    csv = city.table(spark, d, "supplier").select(
+        F.col("s_name").alias("OPERATION NAME"),
+        F.lit("A & B").alias("ADDRESS"),
+        F.when(F.col("s_nationkey") % 2 == 0, "Here ").otherwise("There").alias("MUNICIPALITY"),
+        F.when(k % 5 > 0, (k / 4).cast("string")).otherwise("").alias("LATITUDE"),
+        F.lit("-97.5").alias("LONGITUDE"),
+        kind.alias("CSGroup"),
+        F.when(k % 2 == 0, F.concat(F.lit("https://r.example/"), k)).otherwise("javascript:1").alias("Link"),
+        k.cast("string").alias("OPRID"),
+    )
+    sites = overlays.contaminated_sites(csv, "here")
+    return sites.select(F.col("OPERATION NAME").alias("site"), "colour", "lat", style.site_popup().alias("popup"))
+
+
+@query(f"""SELECT id, '<strong>Roll #</strong> ' || roll || '<br>' || id || ' MAIN ST<br><em>RES</em><br><strong>Size</strong> ' || format('{{:,}}', (id % 90 + 10) * 100) || ' sf (' || printf('%.2f', (id % 90 + 10) * 100.0 / 43560) || ' ac)'
+|| '<br><strong>DU</strong> ' || id % 4 || CASE WHEN id % 4 > 1 THEN '<br><small>+ ' || (id % 4 - 1) || ' more unit' || CASE WHEN id % 4 = 2 THEN '' ELSE 's' END || '</small>' ELSE '' END AS popup,
+'<strong>' || zoning || '</strong><br><em>short</em><br>a &lt; b' AS zone_popup, '<strong>Lot</strong> ' || id || '&nbsp;<strong>Block</strong> &nbsp;<strong>Plan</strong> 7<br>d' AS lot_popup, id % 3 > 0 AS context FROM parcels""", "parcels")
+def popups(spark, d):
+    p = city.parcels(spark, d)
+    p = p.withColumns({"roll_number": F.col("roll"), "full_address": F.concat("id", F.lit(" MAIN ST")), "property_use_code": F.lit("RES"), "assessed_land_area": ((F.col("id") % 90 + 10) * 100).cast("string"), "dwelling_units": (F.col("id") % 4).cast("string"), "units": F.col("id") % 4})
+    p = p.withColumns({"short_description": F.lit("short"), "long_description": F.lit("a < b"), "lot": F.col("id").cast("string"), "block": F.lit(None).cast("string"), "plan": F.lit("7"), "description": F.lit("d")})
+    other = F.when(F.col("id") % 3 == 0, F.col("roll")).otherwise("x")
+    return p.select("id", style.assessment_popup("units").alias("popup"), style.zoning_popup().alias("zone_popup"), style.survey_popup().alias("lot_popup"), style.show_context(F.col("roll"), other).alias("context"))
+
+
+# -- files -------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A folder of its own for files that a query writes and reads back."""
+    return f"{files.shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+
+
+@query("SELECT zone_id::VARCHAR AS id, zone, xmin::DOUBLE AS xmin, ymin::DOUBLE AS ymin, xmax::DOUBLE AS xmax, ymax::DOUBLE AS ymax FROM zones", "zones")
+def geojson_features(spark, d):
+    """Polygons written as GeoJSON features and read back, texts as texts."""
+    z = city.zones(spark, d).select(F.col("zone_id").cast("string").alias("id"), "zone", g.rectangle("xmin", "ymin", "xmax", "ymax").alias("geom"))
+    path = _folder(spark)
+    export.write_features(z, path, ["id", "zone"], export.polygon_json())
+    return files.read_geojson(spark, path, "id string, zone string", lines=True).select("id", "zone", *g.BOX)
+
+
+@query("SELECT addr_id::VARCHAR AS id, x / 16.0 AS lon, y / 16.0 AS lat FROM points", "points")
+def geojson_points(spark, d):
+    p = city.points(spark, d).select(F.col("addr_id").cast("string").alias("id"), (F.col("x") / 16).alias("lon"), (F.col("y") / 16).alias("lat"))
+    path = _folder(spark)
+    export.write_features(p, path, ["id"], export.point_json())
+    return files.read_geojson(spark, path, "id string", "point", lines=True).select("id", "lon", "lat")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, CASE p_partkey % 3 WHEN 0 THEN p_name || ', x' WHEN 1 THEN 'a\"' || p_name ELSE p_name || chr(10) || 'y' END AS name FROM part")
+def csv_round_trip(spark, d):
+    """Cells with commas, quotes and line ends, written and read back."""
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.concat("p_name", F.lit(", x"))).when(k == 1, F.concat(F.lit('a"'), "p_name")).otherwise(F.concat("p_name", F.lit("\ny")))
+    path = _folder(spark)
+    export.write_csv_folder(city.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), name.alias("name")), path)
+    return files.read_csv(spark, path)
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS k FROM supplier")
+def json_rows(spark, d):
+    path = _folder(spark)
+    export.write_rows(city.table(spark, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("k")), path)
+    return spark.read.schema("s_suppkey bigint, s_name string, k int").json(path)
+
+
+_SNAPSHOT = "id string, lot string, block string, plan string, description string"
+
+
+@query("""SELECT l.parcel * 8 + l.n AS id, l.lot::VARCHAR AS lot, l.plan::VARCHAR AS plan, x.roll AS roll, '2024-02-01 (latest)' AS label, 2 AS tables FROM lots l LEFT JOIN (SELECT DISTINCT lot::VARCHAR AS lot, block, plan, min(parcel) OVER (PARTITION BY lot, block, plan) AS roll FROM lots WHERE parcel % 2 = 0) x
+ON x.lot = l.lot::VARCHAR AND x.plan = l.plan AND x.block IS NOT DISTINCT FROM l.block WHERE l.plan::VARCHAR LIKE '%7%' AND l.lot::VARCHAR LIKE '%12%' ORDER BY l.lot::VARCHAR, l.block, l.plan::VARCHAR, id::VARCHAR LIMIT 500""", "lots")
+def snapshot_search(spark, d):
+    """Dated snapshots: written once, the newest found by its date, searched with the cross-reference of its date."""
+    root = _folder(spark)
+    lots = city.lots(spark, d)
+    survey = lots.select((F.col("parcel") * 8 + F.col("n")).cast("string").alias("id"), *[F.col(c).cast("string").alias(c) for c in ("lot", "block", "plan")], F.lit("d").alias("description"))
+    files.write_snapshot(survey.limit(1), f"{root}/survey", "20240101")
+    files.write_snapshot(survey, f"{root}/survey", "20240201")
+    files.write_snapshot(survey.limit(0), f"{root}/survey", "20240201")  # is there already, so it stays
+    x = lots.where("parcel % 2 = 0").groupBy(F.col("lot").cast("string").alias("Lot"), F.col("block").cast("string").alias("Block"), F.col("plan").cast("string").alias("Plan")).agg(F.min("parcel").alias("Roll_Number"))
+    files.write_snapshot(x, f"{root}/xref", "20240201")
+    labels = files.snapshot_labels(spark, f"{root}/survey")
+    date, label = next(iter(labels.items()))
+    found = search.search_snapshot(files.read_snapshot(spark, f"{root}/survey").withColumns({c: F.lit(0) for c in ("geom", *g.BOX)}), files.read_snapshot_if_any(spark, f"{root}/xref", date), plan="7", lot="12")
+    n_tables = len(files.table_names(spark, f"{root}/survey"))
+    return found.rows.select(F.col("id").cast("bigint").alias("id"), "lot", "plan", F.col("x_Roll_Number").alias("roll"), F.lit(label).alias("label"), F.lit(n_tables).alias("tables"))
+
+
+@query("SELECT zone_id, zone, (SELECT count(*) || '' FROM zones) AS n FROM zones", "zones")
+def cached_layer(spark, d):
+    """A layer written once under the time of writing, found by its age, and kept as a frame by a digest of its boxes."""
+    root = _folder(spark)
+    zones = city.zones(spark, d)
+    frames = files.FrameCache(1)
+    for _ in range(2):
+        files.cached_table(spark, root, "zones", lambda: zones, files.ZONING_TTL)
+        kept = frames.get("zones", lambda: files.cached_table(spark, root, "zones", lambda: zones.limit(0), files.ZONING_TTL))
+    return kept.select("zone_id", "zone", F.lit(files.parcel_set_key(zones).split("-")[0]).alias("n"))
+
+
+@query("""SELECT id, CASE WHEN contains(a, ',') THEN '"' || a || '"' ELSE a END || ',' || roll || ',' || value::VARCHAR AS line FROM (SELECT id, roll, value, id || CASE WHEN id % 2 = 0 THEN ' MAIN ST' ELSE ' MAIN ST, UNIT 2' END AS a FROM parcels)""", "parcels")
+def export_lines(spark, d):
+    p = city.parcels(spark, d).withColumn("a", F.concat("id", F.when(F.col("id") % 2 == 0, " MAIN ST").otherwise(" MAIN ST, UNIT 2")))
+    return p.select("id", export.csv_line([F.col("a"), F.col("roll"), F.col("value").cast("string")]).alias("line"))
+
+
+@query("SELECT id AS \"Roll Number\", zoning AS \"Zoning\", 's:' || id AS \"Row Key\" FROM parcels", "parcels")
+def headings(spark, d):
+    p = city.parcels(spark, d).withColumnRenamed("id", "roll_number")
+    return tables.title_case(p.withColumn("row_key", tables.row_key("s", "roll_number")), ["roll_number", "zoning", "nothing", "row_key"])
+
+
+# -- whole flows -------------------------------------------------------------------------------------------------------
+
+# the city in degrees, as searches take it
+_DEG = "-99.0::DOUBLE + {0} * 1e-5::DOUBLE AS {0}", "49.0::DOUBLE + {0} * 1e-5::DOUBLE AS {0}"
+_BOXES = ", ".join(_DEG[c[0] == "y"].format(c) for c in g.BOX)
+_CITY = f"""survey AS (SELECT ord, id, lot, block, plan, {_BOXES} FROM (SELECT l.parcel * 8 + l.n AS ord, (l.parcel * 8 + l.n)::VARCHAR AS id, l.lot::VARCHAR AS lot, l.block::VARCHAR AS block, l.plan::VARCHAR AS plan,
+ p.xmin + 2 * (l.n - 1) AS xmin, p.ymin, p.xmin + 2 * l.n AS xmax, p.ymax FROM lots l JOIN parcels p ON l.parcel = p.id)),
+assess AS (SELECT *, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM (SELECT id AS ord, roll, id AS num, id || ' MAIN ST' AS address, value, {_BOXES} FROM parcels)),
+addr AS (SELECT addr_id || ' SIDE ST' AS address, addr_id AS num, -99.0::DOUBLE + x * 1e-5::DOUBLE AS lon, 49.0::DOUBLE + y * 1e-5::DOUBLE AS lat FROM points)"""
+_PADDED = "EXISTS (SELECT 1 FROM {0} f WHERE {1}.xmax >= f.xmin - 0.002 AND {1}.xmin <= f.xmax + 0.002 AND {1}.ymax >= f.ymin - 0.002 AND {1}.ymin <= f.ymax + 0.002)"
+_NAMED = """{0} AS (SELECT a.* EXCLUDE (address), CASE WHEN n.names IS NULL THEN a.address ELSE a.address || ', ' || n.names END AS address FROM {1} a LEFT JOIN
+ (SELECT a.ord, string_agg(DISTINCT p.address, ', ' ORDER BY p.address) AS names FROM {1} a JOIN addr p ON p.lon BETWEEN a.xmin AND a.xmax AND p.lat BETWEEN a.ymin AND a.ymax GROUP BY 1) n ON n.ord = a.ord)"""
+_MATCH = """{0} AS (SELECT s.ord AS s, a.ord AS a FROM {1} s JOIN {2} a ON a.cx BETWEEN s.xmin AND s.xmax AND a.cy BETWEEN s.ymin AND s.ymax
+ UNION SELECT s.ord, a.ord FROM {1} s JOIN {2} a ON (s.xmin + s.xmax) / 2 BETWEEN a.xmin AND a.xmax AND (s.ymin + s.ymax) / 2 BETWEEN a.ymin AND a.ymax)"""
+_LEGAL = f"""{_CITY}, f AS (SELECT * FROM survey WHERE plan LIKE '%7%' AND lot LIKE '%12%' ORDER BY id LIMIT 1000), c AS (SELECT * FROM assess a WHERE {_PADDED.format('f', 'a')}), {_NAMED.format('e', 'c')}, {_MATCH.format('m', 'f', 'e')}"""
+_WANTED = "num BETWEEN 40 AND 90"
+_ASSESS = f"""{_CITY}, d AS (SELECT * FROM assess WHERE {_WANTED} ORDER BY address, roll LIMIT 1000), w AS (SELECT a.* FROM assess a WHERE EXISTS (SELECT 1 FROM d WHERE d.ord = a.ord)
+ OR EXISTS (SELECT 1 FROM addr p WHERE p.{_WANTED} AND p.lon BETWEEN a.xmin AND a.xmax AND p.lat BETWEEN a.ymin AND a.ymax)), {_NAMED.format('e', 'w')},
+f AS (SELECT * FROM survey s WHERE {_PADDED.format('e', 's')}), {_MATCH.format('m', 'f', 'e')}, o AS (SELECT * FROM assess a WHERE {_PADDED.format('f', 'a')}), {_MATCH.format('om', 'f', 'o')}"""
+
+
+def _legal(spark, d) -> search.Result:
+    return search.search(city.sources(spark, d), plan="7", lot="12")
+
+
+def _assessment(spark, d) -> search.Result:
+    return search.search(city.sources(spark, d), address_from="90", address_to="40", address_street="st", plan="ignored")
+
+
+@query(f""", {_LEGAL} SELECT f.id, f.lot, f.plan, string_agg(e.roll, ', ' ORDER BY e.ord) AS rolls, count(e.ord) > 1 AS partial, 's:' || f.id AS row_key FROM f LEFT JOIN m ON m.s = f.ord LEFT JOIN e ON e.ord = m.a GROUP BY f.id, f.lot, f.plan""", "parcels", "lots", "points")
+def flow_legal(spark, d):
+    """A search by plan and lot, to one row per lot with its rolls."""
+    return _legal(spark, d).rows.select("survey.id", "survey.lot", "survey.plan", F.col("assess.roll_number").alias("rolls"), "partial", F.col("_rowKey").alias("row_key"))
+
+
+@query(f""", {_LEGAL}, one AS (SELECT s FROM m GROUP BY s HAVING count(*) = 1) SELECT f.id, e.address FROM f JOIN one ON one.s = f.ord JOIN m ON m.s = f.ord JOIN e ON e.ord = m.a""", "parcels", "lots", "points")
+def flow_legal_addresses(spark, d):
+    """Of lots with one roll, its addresses: its own, then those of the points inside."""
+    return _legal(spark, d).rows.where("assess is not null and not partial").select("survey.id", F.col("assess.full_address").alias("address"))
+
+
+@query(f""", {_LEGAL}, k AS (SELECT m.a, min_by(f.id, f.ord) AS id FROM m JOIN f ON f.ord = m.s GROUP BY 1) SELECT 'survey' AS layer, f.id AS parcel, 's:' || f.id AS row_key, f.xmin FROM f UNION ALL SELECT 'assess', e.roll, 's:' || k.id, e.xmin FROM k JOIN e ON e.ord = k.a""", "parcels", "lots", "points")
+def flow_legal_layers(spark, d):
+    """Both layers of the map as one, context parcels with the key of their first match."""
+    return search.layers(_legal(spark, d)).select(F.col("parcel_layer").alias("layer"), F.coalesce("id", "roll_number").alias("parcel"), F.col("_rowKey").alias("row_key"), "xmin")
+
+
+@query(f""", {_LEGAL} SELECT count(*) AS found, (SELECT count(*) FROM survey WHERE plan LIKE '%7%' AND lot LIKE '%12%') > 1000 AS truncated, 2 AS missing, (SELECT count(*) FROM f) || CASE WHEN (SELECT count(*) FROM f) = 1 THEN ' parcel' ELSE ' parcels' END AS said FROM f""", "parcels", "lots", "points")
+def flow_status(spark, d):
+    """What a search says of itself."""
+    got = _legal(spark, d)
+    found = got.found.rows.count()
+    return spark.createDataFrame([(found, tables.any_truncated([got.found]), search.missing_rolls("1, 2; 3", 1), t.result_count(found))], "found bigint, truncated boolean, missing int, said string")
+
+
+@query(f""", {_ASSESS}, p AS (SELECT s FROM om GROUP BY s HAVING count(*) > 1), l AS (SELECT m.a, count(*) AS n, min_by(f.id, f.ord) AS first_id, string_agg(DISTINCT f.block, ', ' ORDER BY f.block) AS blocks, bool_or(p.s IS NOT NULL) AS partial FROM m JOIN f ON f.ord = m.s LEFT JOIN p ON p.s = m.s GROUP BY 1)
+SELECT e.roll, e.address, l.first_id, l.blocks, coalesce(l.partial, false) AS partial, 'a:' || e.roll AS row_key FROM e LEFT JOIN l ON l.a = e.ord""", "parcels", "lots", "points")
+def flow_assessment(spark, d):
+    """A search by address, of parcels and of address points, to one row per roll with its lots."""
+    rows = _assessment(spark, d).rows
+    return rows.select(F.col("assess.roll_number").alias("roll"), F.col("assess.full_address").alias("address"), F.col("survey.id").alias("first_id"), F.col("survey.block").alias("blocks"), F.coalesce(F.contains("survey.lot", F.lit("(partial)")), F.lit(False)).alias("partial"), F.col("_rowKey").alias("row_key"))
+
+
+@query(f""", {_ASSESS} SELECT e.roll, {_THOUSANDS.format('((num % 90 + 10) * 100)')} AS area, printf('%.6f', cy) AS lat, printf('%.6f', cx) AS lon, '$' || format('{{:,}}', floor(value::DOUBLE + 0.5)::BIGINT) AS value, 'https://records.example/' || e.roll AS record_url,
+'https://walk.example/' || num || '%20MAIN%20ST' AS walk_url, 'https://flood.example/?lat=' || printf('%.6f', cy) || '&lon=' || printf('%.6f', cx) || '&label=' || num || '+MAIN+ST' AS flood_url FROM e""", "parcels", "lots", "points")
+def flow_display(spark, d):
+    """The result table of a search, links and formatted numbers."""
+    src = city.sources(spark, d)
+    shown = search.display(src, _assessment(spark, d).rows)
+    return shown.select(F.col("roll_number").alias("roll"), "area", "lat", "lon", "value", "record_url", "walk_url", "flood_url")
+
+
+_ROADS = """net AS (SELECT road, 'ROAD ' || road AS name, vertical, CASE WHEN vertical = 1 THEN "at" ELSE lo END * 1e-4 AS x0, CASE WHEN vertical = 1 THEN lo ELSE "at" END * 1e-4 AS y0, CASE WHEN vertical = 1 THEN "at" ELSE hi END * 1e-4 AS x1, CASE WHEN vertical = 1 THEN hi ELSE "at" END * 1e-4 AS y1 FROM roads),
+pairs AS (SELECT v.road AS main, h.road AS crossing, v.x0 AS x, least(greatest(h.y0, v.y0), v.y1) AS y, greatest(h.x0 - v.x0, v.x0 - h.x1, 0) AS dx, h.y0 - least(greatest(h.y0, v.y0), v.y1) AS dy FROM net v JOIN net h ON v.vertical = 1 AND h.vertical = 0),
+met AS (SELECT main, crossing, x, y FROM pairs WHERE dx * dx + dy * dy <= 0.0012 * 0.0012)"""
+
+
+def _road_net(spark, d) -> DataFrame:
+    r = city.roads(spark, d)
+    at, lo, hi = (F.col(c) * F.lit(1e-4) for c in ("at", "lo", "hi"))
+    up = F.col("vertical") == 1
+    line = F.array(F.array(F.when(up, g.point(at, lo)).otherwise(g.point(lo, at)), F.when(up, g.point(at, hi)).otherwise(g.point(hi, at))))
+    return r.select(F.col("road").alias("_ord"), F.col("road").cast("string").alias("segment_id"), F.concat(F.lit("Road "), "road").alias("full_name"), *[F.lit(None).cast("string").alias(c) for c in ("st_name", "st_type", "st_dir")], line.alias("lines"))
+
+
+def _latest(spark, d) -> DataFrame:
+    """A study for every odd road and each two neighbours among the even ones."""
+    r = city.roads(spark, d).select("road", "vertical")
+    odd, even = r.where("vertical = 1").select(F.col("road").alias("m")), r.where("vertical = 0").select(F.col("road").alias("c"))
+    rows = odd.join(even, (F.col("c") >= F.col("m") - 15) & (F.col("c") <= F.col("m") + 15))
+    name = lambda c: F.concat(F.lit("Road "), c)
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    return rows.select(F.concat_ws("-", "m", "c").alias("study_id"), name(F.col("m")).alias("street"), name(F.col("c")).alias("street_from"), name(F.col("c") + 2).alias("street_to"), F.lit(None).cast("string").alias("location_description"), day.alias("min_count_date"), day.alias("max_count_date"), (F.col("m") * 100).alias("total"), F.lit(96).cast("bigint").alias("intervals"), F.lit(1).cast("bigint").alias("sample_days"))
+
+
+@query(f""", {_ROADS}, s AS (SELECT v.road AS m, h.road AS c FROM roads v JOIN roads h ON v.vertical = 1 AND h.vertical = 0 AND h.road BETWEEN v.road - 15 AND v.road + 15),
+k AS (SELECT s.m, s.c, a.x, a.y AS y0, b.y AS y1, n.y0 + (n.y1 - n.y0) / 2 AS cy FROM s JOIN met a ON a.main = s.m AND a.crossing = s.c JOIN met b ON b.main = s.m AND b.crossing = s.c + 2 JOIN net n ON n.road = s.m WHERE abs(a.y - b.y) > 1e-6)
+SELECT m || '-' || c AS study_id, round(x, 9) AS x, round(y0, 9) AS y0, round(y1, 9) AS y1, CASE WHEN (cy - y0) / (y1 - y0) BETWEEN -0.04 AND 1.04 THEN 'road segment' ELSE 'approximate corridor' END AS match_type, m * 100 AS volume FROM k""", "roads")
+def flow_corridors(spark, d):
+    """Studies on the road network: exact crossings and points within the snap, segments between them or a straight line."""
+    got = traffic.corridors(traffic.latest_per_corridor(_latest(spark, d)), _road_net(spark, d))
+    return got.select("study_id", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y0"), F.round("q.y", 9).alias("y1"), "match_type", F.col("avg_daily_volume").alias("volume"))
+
+
+@query("""SELECT street::VARCHAR AS site, 'station' AS kind, sum(n)::BIGINT AS volume, '1 left out' AS said FROM counts WHERE ts BETWEEN (SELECT max(ts) FROM counts) - INTERVAL 24 HOUR + INTERVAL 15 MINUTE AND (SELECT max(ts) FROM counts) GROUP BY 1
+UNION ALL SELECT study_id, 'midblock', volume, '1 left out' FROM (SELECT 'x' AS study_id, 5::BIGINT AS volume)""", "counts")
+def flow_volumes(spark, d):
+    """Stations and corridors as one layer; where a branch cannot be read the other one stays."""
+    stations = lambda: traffic.stations(city.counts(spark, d).withColumn("site", F.col("street").cast("string")), ["site"], "ts", "n").select("site", F.lit("station").alias("kind"), F.col("sum_total").alias("volume"))
+    lines = lambda: spark.createDataFrame([("x", "midblock", 5)], "site string, kind string, volume bigint")
+    both, none_missing = traffic.volumes(stations, lines)
+    _, said = traffic.volumes(lines, lambda: spark.read.parquet(f"{files.shared_dir(spark)}/not-there"))
+    return both.withColumn("said", F.lit(f"{len(said) - len(none_missing)} left out"))
+
+
+@query("""SELECT other, id, floor(100.0 * w * h / ((xmax - xmin) * (ymax - ymin)) + 0.3217)::BIGINT AS pct FROM (SELECT a.id, b.id AS other, a.xmin, a.xmax, a.ymin, a.ymax, least(a.xmax, b.xmax + 3) - greatest(a.xmin, b.xmin + 3) AS w, least(a.ymax, b.ymax + 2) - greatest(a.ymin, b.ymin + 2) AS h
+FROM parcels a JOIN parcels b ON least(a.xmax, b.xmax + 3) > greatest(a.xmin, b.xmin + 3) AND least(a.ymax, b.ymax + 2) > greatest(a.ymin, b.ymin + 2))""", "parcels")
+def xref_utm(spark, d):
+    """Shares of parcels that shifted parcels cover, by areas after projection."""
+    src = city.sources(spark, d)
+    shift = {"xmin": 3, "xmax": 3, "ymin": 2, "ymax": 2}
+    p = city.parcels(spark, d)
+    moved = city.degrees(p.select("id", *[(F.col(c) + k).alias(c) for c, k in shift.items()])).withColumns({c: F.lit(None).cast("string") for c in ("lot", "block", "plan", "description")})
+    met = xref.pairs_of_layers((moved.withColumn("id", F.col("id").cast("string")), files.LON_LAT), (src.assess, "EPSG:4326"), src.cell).where("shared > 1e-3 and not failed")
+    return met.select(F.col("l_id").cast("bigint").alias("other"), F.col("r_roll_number").cast("bigint").alias("id"), F.floor(F.col("shared") / F.col("r_m2") * 100 + 0.3217).alias("pct"))
+
+
+_EDGES = """e AS (SELECT id, k, CASE k WHEN 0 THEN xmin WHEN 1 THEN xmax WHEN 2 THEN xmax ELSE xmin END AS ax, CASE k WHEN 0 THEN ymin WHEN 1 THEN ymin WHEN 2 THEN ymax ELSE ymax END AS ay,
+CASE k WHEN 0 THEN xmax WHEN 1 THEN xmax WHEN 2 THEN xmin ELSE xmin END AS bx, CASE k WHEN 0 THEN ymin WHEN 1 THEN ymax WHEN 2 THEN ymax ELSE ymin END AS by_ FROM parcels, (SELECT unnest([0, 1, 2, 3]) AS k)),
+f AS (SELECT *, 2 * 6371000.0 * 3.28084 * asin(sqrt(power(sin(radians((by_ - ay) * 1e-5) / 2), 2) + cos(radians(49 + ay * 1e-5)) * cos(radians(49 + by_ * 1e-5)) * power(sin(radians((bx - ax) * 1e-5) / 2), 2))) AS feet FROM e)"""
+
+
+@query(f""", {_EDGES} SELECT id AS _ord, floor(feet * 10 + 0.3217)::BIGINT AS tenths, round(-99 + (ax + bx) / 2.0 * 1e-5, 7) AS lon, round(49 + (ay + by_) / 2.0 * 1e-5, 7) AS lat FROM (SELECT *, row_number() OVER (PARTITION BY least(ax, bx), least(ay, by_), greatest(ax, bx), greatest(ay, by_) ORDER BY id, k) AS rn FROM f WHERE feet >= 5) WHERE rn = 1""", "parcels")
 def flow_dimensions(spark, d):
-    return overlays.edge_dimensions(city.sources(spark, d).assess)
+    got = overlays.edge_dimensions(city.sources(spark, d).assess)
+    return got.select("_ord", F.floor(F.col("feet") * 10 + 0.3217).alias("tenths"), F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+_TILES = """t AS (SELECT *, row_number() OVER (PARTITION BY xmin, ymin, xmax, ymax ORDER BY roll) AS rn FROM parcels)"""
+_TILE = "roll AS roll_number, id || ' MAIN ST' AS full_address, 'RES' AS property_use_code, (id % 4)::VARCHAR AS dwelling_units, ((id % 90 + 10) * 100)::VARCHAR AS assessed_land_area"
 
 
-@query()
+@query(f", {_TILES} SELECT {_TILE} FROM t WHERE rn = 1", "parcels")
 def flow_tile_polygons(spark, d):
     return overlays.tile_layers(city.sources(spark, d).assess)[0].drop("geom")
 
 
-@query()
+@query(f", {_TILES} SELECT {_TILE}, round(-99 + (xmin + xmax) / 2.0 * 1e-5, 7) AS lon, round(49 + (ymin + ymax) / 2.0 * 1e-5, 7) AS lat FROM t WHERE rn = 1", "parcels")
 def flow_tile_labels(spark, d):
     return overlays.tile_layers(city.sources(spark, d).assess)[1]
 

@@ -87,6 +87,11 @@ def write_features(df: DataFrame, path: str, properties: list[str], geometry: Co
     feature_lines(df, properties, geometry).write.mode("errorifexists").text(path)
 
 
+def write_rows(df: DataFrame, path: str) -> None:
+    """Line-delimited JSON rows, nulls kept, any size."""
+    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
 def write_collection(df: DataFrame, path: str, properties: list[str], geometry: Column) -> None:
     """One local FeatureCollection file, streamed partition by partition."""
     with open(path, "w", encoding="utf-8") as f:

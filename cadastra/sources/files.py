@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import tempfile
 import threading
 from collections import OrderedDict
 from collections.abc import Callable
@@ -17,16 +18,35 @@ from ..functions import text as t
 DAY = 86400.0
 ZONING_TTL, SITES_TTL, TRAFFIC_TTL = 7 * DAY, 7 * DAY, 30 * DAY
 
+#: The reference system of GeoJSON where a file names none.
+LON_LAT = "OGC:CRS84"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, or a local one where that is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='cadastra-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 # -- files -------------------------------------------------------------------------------------------------------------
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str, kind: str = "polygon") -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, properties: str, kind: str = "polygon", lines: bool = False) -> DataFrame:
     """Features of a collection as rows: properties (DDL, texts stay texts) and geom, lines or lon and lat, with boxes.
 
     Polygon and MultiPolygon become multipolygons, LineString and MultiLineString multilines. Points need two coordinates.
+    With ``lines`` each line of the files is a feature, so large files are split over tasks.
     """
-    ddl = f"features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<{_struct(properties)}>>>"
-    rows = spark.read.schema(ddl).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    feature = f"geometry:struct<type:string,coordinates:string>,properties:struct<{_struct(properties)}>"
+    if lines:
+        rows = spark.read.schema(feature.replace("geometry:", "geometry ", 1).replace(",properties:", ", properties ", 1)).json(path).select(F.struct("geometry", "properties").alias("f"))
+    else:
+        rows = spark.read.schema(f"features array<struct<{feature}>>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     rows = rows.select("f.properties.*", F.col("f.geometry.type").alias("_type"), F.col("f.geometry.coordinates").alias("_raw"))
     if kind == "point":
         xy = F.from_json("_raw", "array<double>")
@@ -48,6 +68,12 @@ def _struct(ddl: str) -> str:
     return ",".join(f"{n}:{k}" for n, k in (f.strip().rsplit(" ", 1) for f in ddl.split(",")))
 
 
+def geojson_crs(spark: SparkSession, path: str) -> str:
+    """The reference system that a collection names, else LON_LAT."""
+    named = spark.read.schema("crs struct<properties:struct<name:string>>").option("multiLine", True).json(path).select("crs.properties.name").first()
+    return named[0] if named and named[0] else LON_LAT
+
+
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of flat rows."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -58,43 +84,6 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
 
 
-def parse_csv(content: str) -> list[list[str]]:
-    """Rows of a small CSV text with any mix of CR, LF and CRLF; blank lines are skipped."""
-    rows, row, cell, quoted, i = [], [], [], False, 0
-
-    def close() -> None:
-        row.append("".join(cell))
-        cell.clear()
-        if row != [""]:
-            rows.append(list(row))
-        row.clear()
-
-    while i < len(content):
-        ch = content[i]
-        if quoted:
-            if ch == '"' and content[i + 1 : i + 2] == '"':
-                cell.append('"')
-                i += 1
-            elif ch == '"':
-                quoted = False
-            else:
-                cell.append(ch)
-        elif ch == '"':
-            quoted = True
-        elif ch == ",":
-            row.append("".join(cell))
-            cell.clear()
-        elif ch in "\r\n":
-            close()
-            i += content[i : i + 2] == "\r\n"
-        else:
-            cell.append(ch)
-        i += 1
-    if cell or row:
-        close()
-    return rows
-
-
 # -- snapshots ---------------------------------------------------------------------------------------------------------
 
 
@@ -135,6 +124,16 @@ def read_snapshot(spark: SparkSession, root: str, date: str | None = None) -> Da
     return spark.read.parquet(f"{root}/snapshot_date={date}")
 
 
+def table_names(spark: SparkSession, root: str) -> list[str]:
+    """Names of the finished tables in a folder, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    return sorted(p.getName() for p in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def read_snapshot_if_any(spark: SparkSession, root: str, date: str) -> DataFrame | None:
     return read_snapshot(spark, root, date) if date in snapshots(spark, root) else None
 
@@ -159,6 +158,11 @@ def cached_table(spark: SparkSession, root: str, name: str, make: Callable[[], D
     return spark.read.parquet(path)
 
 
+def traffic_lines(spark: SparkSession, root: str, make: Callable[[], DataFrame], now: dt.datetime | None = None) -> DataFrame:
+    """The lines layer of traffic volumes, made anew when it is older than TRAFFIC_TTL."""
+    return cached_table(spark, root, "traffic_lines", make, TRAFFIC_TTL, now)
+
+
 class FrameCache:
     """At most ``size`` persisted frames by key; the first in is the first out. One maker per key at a time; failures leave nothing."""
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,3 +101,16 @@ def test_crossing_and_nearest(spark):
 def test_failed_rows_do_not_fail_the_batch(spark):
     df = spark.createDataFrame([(SQUARE, None), (SQUARE, [[]]), (SQUARE, SQUARE)], f"a {g.GEOM}, b {g.GEOM}")
     assert [r[0] for r in df.select(g.overlap_area("a", "b")).collect()] == [None, 0.0, 100.0]
+
+
+def test_rectangles_of_a_batch_are_known():
+    box = poly([(0, 0), (2, 0), (2, 3), (0, 3), (0, 0)])
+    turned = poly([(0, 0), (0, 3), (2, 3), (2, 0), (0, 0)])
+    two = [*box, *box]
+    bent = poly([(0, 0), (2, 0), (2, 3), (1, 3), (0, 0)])
+    ring = pa.array([box, None, turned, two, HOLED, bent, [], [[]], poly([(0, 0), (1, 1)]), box], g._GEOM_TYPE)
+    for geom in (ring, ring.slice(2, 3), ring.slice(9, 1)):
+        ok, corners = g._rectangles(geom)
+        want = [v in (box, turned) for v in geom.to_pylist()]
+        assert ok.tolist() == want
+        assert all((corners["xmax"][k], corners["ymax"][k]) == (2, 3) for k in np.flatnonzero(ok))

@@ -36,9 +36,11 @@ def test_street_number(value, want):
     assert predicates.street_number(value) == want
 
 
-def test_roll_list_is_capped(spark):
-    df = spark.range(600).select(F.lpad(F.col("id").cast("string"), 11, "0").alias("roll_number"))
-    assert df.where(predicates.rolls(" ".join(map(str, range(600))))).count() == predicates.MOST_ROLLS
+def test_roll_list_is_whole(spark):
+    df = spark.range(700).select(F.lpad(F.col("id").cast("string"), 11, "0").alias("roll_number"))
+    asked = " ".join(map(str, range(600)))
+    assert df.where(predicates.rolls(asked)).count() == 600
+    assert df.where(predicates.rolls(asked, most=predicates.MOST_ROLLS)).count() == predicates.MOST_ROLLS
 
 
 def test_truncation(spark):

@@ -11,9 +11,11 @@ from cadastra.sources import export, files
 from cadastra.operators import overlays
 
 
-def test_parse_csv():
-    assert files.parse_csv('a,"b,""c"""\r\n\r\nd,"e\nf"\rg,h') == [["a", 'b,"c"'], ["d", "e\nf"], ["g", "h"]]
-    assert files.parse_csv("") == []
+def test_read_csv(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_bytes(b'x,y\r\na,"b,""c"""\r\n\r\nd,"e\nf"\r\ng,h')
+    got = files.read_csv(spark, str(p)).collect()
+    assert [tuple(r) for r in got] == [("a", 'b,"c"'), ("d", "e\nf"), ("g", "h")]
 
 
 def test_sites(spark, tmp_path):
