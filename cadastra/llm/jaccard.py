@@ -13,9 +13,10 @@ a class; one stands for all. The T-occurrence search:
 2. A parity bitmap of each set, four to eight bits a shingle, bounds from below
    how much two sets differ. In each list members of fitting size whose
    bitmaps allow a link are joined, by a forest of such pairs; what is joined
-   through any list is a neighbourhood, which no link leaves. Lists above PIECE
-   members are dealt into pieces anew in each round, then those of their
-   pieces that are still apart meet two by two.
+   through any list is a neighbourhood, which no link leaves. First each member
+   is compared in its longest list alone, then in all lists whose members are
+   still apart. Lists above PIECE members are dealt into pieces anew in each
+   round, then those of their pieces that are still apart meet two by two.
 3. The texts of a neighbourhood meet in a block with an inverted index of all
    their shingles. Each document asks it, by DivideSkip: its short lists are
    merged by a heap, and documents that occur there often enough are probed for
@@ -261,10 +262,12 @@ def _deal(parts: Column, turn: int, last: bool) -> Column:
 def neighbourhoods(members: DataFrame, bits: DataFrame) -> DataFrame:
     """node, comp: of the members (token, m, n, h, id) of lists those that a chain of likely pairs joins."""
     labels: DataFrame | None = None
-    rows = members.withColumn("comp", F.col("id"))
-    for turn in range(ROUNDS + 1):
-        if turn:
-            rows = members.where(F.col("m") > PIECE).join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # first each member in its longest list alone, which joins most of a group of copies
+    rows = members.groupBy("h", "id", "n").agg(F.max(F.struct("m", "token")).alias("at")).select("at.token", "at.m", "n", "h", "id", F.col("id").alias("comp"))
+    for turn in range(-1, ROUNDS + 1):
+        if turn >= 0:
+            rows = members if turn == 0 else members.where(F.col("m") > PIECE)
+            rows = rows.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             apart = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
             rows = materialize(rows.join(apart, "token"), "jac-open")
             if rows.isEmpty():

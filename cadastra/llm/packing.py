@@ -44,7 +44,7 @@ SENTENCE_COST, INNER_COST, WINDOW_COST = 8, 48, 16
 GRID = 64
 STRETCH = 1 << 19
 #: Distinct words, and pieces of words, whose ids a worker remembers.
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
 _BATCH = 1 << 20
 
 
