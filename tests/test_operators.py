@@ -43,6 +43,12 @@ def test_roll_list_is_whole(spark):
     assert df.where(predicates.rolls(asked, most=predicates.MOST_ROLLS)).count() == predicates.MOST_ROLLS
 
 
+def test_numbered_is_a_row_number(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
+    got = {r["v"]: r["pos"] for r in tables.numbered(df, [F.desc("v")]).collect()}
+    assert got == {v: k for k, v in enumerate(sorted((i * 7919 % 1009 for i in range(1000)), reverse=True), 1)}
+
+
 def test_truncation(spark):
     df = spark.range(1001)
     assert not tables.limited(df.where("id < 1000"), 1000, ["id"]).truncated
@@ -219,3 +225,20 @@ def test_tile_layers(spark):
     polygons, labels = overlays.tile_layers(df)
     assert sorted(r["roll_number"] for r in polygons.collect()) == ["1", "3"]
     assert all(0 < r["lon"] < 6 and 0 < r["lat"] < 6 for r in labels.collect())
+
+
+def test_volumes_of_one_branch(spark):
+    def broken():
+        raise OSError("away")
+
+    one = spark.createDataFrame([("a", 1)], "site string, v int")
+    rows, said = traffic.volumes(broken, lambda: one)
+    assert rows.collect() == one.collect() and said == ["stations are left out: OSError"]
+    with pytest.raises(RuntimeError):
+        traffic.volumes(broken, broken)
+
+
+def test_days_of_a_study_without_sample_days(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(2, t0, t0), (0, t0, t0 + dt.timedelta(days=3)), (None, None, t0)], "d int, a timestamp_ntz, b timestamp_ntz")
+    assert [r[0] for r in df.select(traffic.study_days(F.col("d"), F.col("a"), F.col("b"))).collect()] == [2.0, 3.01, 1.0]

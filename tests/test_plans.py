@@ -63,6 +63,17 @@ def test_search_by_address_points(city):
     assert s.search(city, address_from="440", du_mode="min", du_min=1, address_street="h").rows.count() == 0
 
 
+def test_search_without_a_table_that_fails(city):
+    from dataclasses import replace
+
+    got = s.search(replace(city, zones=city.zones.drop("zoning")), plan="129")
+    assert len(got.notes) == 1 and got.notes[0].startswith("zones are left out")
+    assert {r["assess"]["zoning_top1"] for r in got.rows.collect()} == {None}
+    both = s.layers(got)
+    assert sorted(r["parcel_layer"] for r in both.collect()) == ["assess", "survey", "survey"]
+    got.release()
+
+
 def test_no_input(city):
     with pytest.raises(ValueError):
         s.search(city, lot="", roll=None, du_mode="any")

@@ -102,3 +102,22 @@ def test_features(spark, tmp_path):
 def test_shape_digest(spark):
     df = spark.range(1).select(g.rectangle(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("geom"))
     assert len(df.select(overlays.shape_digest()).first()[0]) == 32
+
+
+def test_reference_systems(spark, tmp_path):
+    p = tmp_path / "c.json"
+    p.write_text(json.dumps({"crs": {"properties": {"name": "EPSG:26914"}}, "features": []}))
+    assert files.geojson_crs(spark, str(p)) == "EPSG:26914"
+    p.write_text('{"features": []}')
+    g.crs_matches(files.geojson_crs(spark, str(p)), "EPSG:4326")
+    with pytest.raises(ValueError):
+        g.crs_matches("EPSG:26914", files.LON_LAT)
+
+
+def test_tables_of_a_folder(spark, tmp_path):
+    for name in ("b", "a"):
+        spark.range(1).write.parquet(str(tmp_path / name))
+    (tmp_path / "unfinished").mkdir()
+    assert files.table_names(spark, str(tmp_path)) == ["a", "b"] and files.table_names(spark, str(tmp_path / "none")) == []
+    lines = files.traffic_lines(spark, str(tmp_path / "kept"), lambda: spark.range(3))
+    assert lines.count() == files.traffic_lines(spark, str(tmp_path / "kept"), lambda: spark.range(9)).count() == 3
