@@ -10,7 +10,7 @@ a class; one stands for all. The T-occurrence search:
    T - 1 longest must hold a result). Only those short lists are written:
    postings are dealt out by shingle, lists with one member go, and of lists
    with the same members one stays.
-2. A parity bitmap of each set, four to eight bits a shingle, bounds from below
+2. A parity bitmap of each set, two to four bits a shingle, bounds from below
    how much two sets differ. In each list members of fitting size whose
    bitmaps allow a link are joined, by a forest of such pairs; what is joined
    through any list is a neighbourhood, which no link leaves. First each member
@@ -87,7 +87,7 @@ def _short(digest: bytes) -> int:
 
 def _bitmap(s: np.ndarray) -> bytes:
     """Parity of the number of shingles by their low bits."""
-    bits = max(8, min(MAX_BITS, 4 << (len(s) - 1).bit_length()))
+    bits = max(8, min(MAX_BITS, 2 << (len(s) - 1).bit_length()))
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
