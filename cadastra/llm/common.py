@@ -19,6 +19,8 @@ _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 #: Groups with more than total / HOT_SHARE rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
+#: Narrow rows of a file where their number is known beforehand.
+ROWS_A_FILE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows: how many there are at most; few rows then make few files, whatever the number of shuffle partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[found] = path

@@ -427,13 +427,14 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node reachable from each node of edges (a, b)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "cc-labels")
+    most = both.count()  # there are no more nodes than ends of edges
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "cc-labels", most)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("seen"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "seen").alias("comp"))
         # jump: the label of one's label
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
-        step = materialize(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("beyond", "comp")).alias("comp")), "cc-labels")
+        step = materialize(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("beyond", "comp")).alias("comp")), "cc-labels", most)
         discard(labels)
         labels = step
         if step.where("comp <> was").isEmpty():
