@@ -12,6 +12,8 @@ time. Windows of a power of two, which have none, are looked up one by one.
 The stream is planned in stretches of about STRETCH tokens, whatever a task's
 size; the last window of a stretch is planned again with the next one.
 
+Words are told apart by 64-bit hashes: a worker remembers MAX_WORDS of them, so one word in some 10^13 might be mistaken.
+
 Nothing is shuffled: a task packs the documents it reads, in their order.
 sequence_id is the task's partition number * 2^32 + a running number.
 
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import release, strings
+from .textbytes import release, strings, word_hashes, words
 
 WINDOW = 2048
 END_ID = 1
@@ -69,19 +71,23 @@ def _ends_word(tokenizer) -> np.ndarray:
 _ODD = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]|<[|]")
 # Fixed value: how the vocabulary's tokenizer splits a word in lower case.
 _LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^0-9{_LETTERS}]+")
+_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^0-9\n{_LETTERS}]+|\n")
+
+
+def _stops(of: list[bytes]) -> list[bool]:
+    return [w.endswith((b".", b"!", b"?")) for w in of]
 
 
 class _Table:
-    """Ids by key; the first ``most`` keys are remembered, others until ``forget``."""
+    """Ids by place; the first ``most`` keys are remembered, others until ``forget``."""
 
     def __init__(self, most: int):
-        self.most, self.place = most, {}
+        self.most, self.count = most, 0
         self.begin, self.length, self.stop = (np.zeros(1 << 16, t) for t in (np.int64, np.int32, bool))
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def add(self, keys: list, ids: np.ndarray, length: np.ndarray, stop: list | bool = False) -> None:
-        at, to, used = len(self.place), len(self.place) + len(keys), self.used + len(ids)
+    def add(self, keys, ids: np.ndarray, length: np.ndarray, stop: list | bool = False) -> None:
+        at, to, used = self.count, self.count + len(keys), self.used + len(ids)
         while to > len(self.begin):
             self.begin, self.length, self.stop = (np.resize(x, 2 * len(x)) for x in (self.begin, self.length, self.stop))
         while used > len(self.ids):
@@ -89,18 +95,8 @@ class _Table:
         self.ids[self.used : used] = ids
         self.begin[at:to] = self.used + np.cumsum(length) - length
         self.length[at:to], self.stop[at:to] = length, stop
-        self.place.update(zip(keys, range(at, to), strict=True))
-        self.used = used
-
-    def find(self, keys: list, learn) -> np.ndarray:
-        """Places of keys; ``learn`` adds the distinct ones that are not here."""
-        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            new = [keys[k] for k in unknown]
-            learn(list(dict.fromkeys(new)))
-            at[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
-        return at
+        self.count, self.used = to, used
+        self._put(keys, at)
 
     def gather(self, at: np.ndarray, shift: np.ndarray | int = 0, out: np.ndarray | None = None) -> np.ndarray:
         """The ids at places, one after the other, or into ``out`` with so many more before those of each."""
@@ -114,15 +110,94 @@ class _Table:
         return out
 
     def forget(self) -> None:
-        while len(self.place) > self.most:  # the last ones in go
-            self.used = int(self.begin[self.place.popitem()[1]])
+        if self.count > self.most:  # the last ones in go
+            self._drop(self.most)
+            self.count, self.used = self.most, int(self.begin[self.most])
+
+
+class _Pieces(_Table):
+    """Places of pieces of words."""
+
+    def __init__(self, most: int):
+        super().__init__(max(1, most))
+        self.place: dict[str, int] = {}
+
+    def _put(self, keys: list[str], at: int) -> None:
+        self.place.update(zip(keys, range(at, at + len(keys)), strict=True))
+
+    def _drop(self, most: int) -> None:
+        while len(self.place) > most:
+            self.place.popitem()
+
+    def find(self, keys: list[str], learn) -> np.ndarray:
+        """Places of keys; ``learn`` adds the distinct ones that are not here."""
+        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new = [keys[k] for k in unknown]
+            learn(list(dict.fromkeys(new)))
+            at[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        return at
+
+
+class _Words(_Table):
+    """Places of words by their 64-bit hashes, looked up many at a time: open addressing, linear probing."""
+
+    def __init__(self, most: int):
+        super().__init__(most)
+        self._room(1 << 16)
+
+    def _room(self, slots: int) -> None:
+        self.hash, self.place = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self.slot = np.zeros(slots // 2, np.int64)  # of each place
+
+    def _put(self, keys: np.ndarray, at: int) -> None:
+        if 2 * (at + len(keys)) > len(self.hash):
+            old = self.hash[self.slot[:at]]
+            self._room(1 << (4 * (at + len(keys))).bit_length())
+            self._put(old, 0)
+        mask = len(self.hash) - 1
+        slot, left = (keys & np.uint64(mask)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.place[slot[left]] < 0]
+            self.place[slot[free]] = at + free  # of several that want a slot one gets it
+            self.hash[slot[free]] = keys[free]
+            left = left[self.place[slot[left]] != at + left]
+            slot[left] = (slot[left] + 1) & mask
+        self.slot[at : at + len(keys)] = slot
+
+    def _drop(self, most: int) -> None:
+        # a key that came together with these may not be met then, and is learned again
+        self.place[self.slot[most : self.count]] = -1
+
+    def _seek(self, keys: np.ndarray) -> np.ndarray:
+        mask = len(self.hash) - 1
+        slot = (keys & np.uint64(mask)).astype(np.int64)
+        out = self.place[slot]
+        left = np.flatnonzero((out >= 0) & (self.hash[slot] != keys))
+        while len(left):
+            slot[left] = (slot[left] + 1) & mask
+            out[left] = self.place[slot[left]]
+            left = left[(out[left] >= 0) & (self.hash[slot[left]] != keys[left])]
+        return out
+
+    def find(self, keys: np.ndarray, learn) -> np.ndarray:
+        """Places of keys; ``learn`` adds the distinct ones that are not here, whose first places among keys it gets."""
+        at = self._seek(keys)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            new, first = np.unique(keys[unknown], return_index=True)
+            learn(new, unknown[first])
+            at[unknown] = self._seek(keys[unknown])
+        return at
 
 
 class Encoder:
     """Ids of texts, word by word, as tokens never reach over white space; a new word's from the pieces that the tokenizer splits it into."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
-        self.tokenizer, self.words, self.pieces = _tokenizer(path), _Table(max_words), _Table(max_words)
+        self.tokenizer, self.words, self.pieces = _tokenizer(path), _Words(max_words), _Pieces(max_words)
+        self.pieces.add(["\n"], np.zeros(0, np.uint32), np.zeros(1, np.int64))  # place 0, without ids: the end of a word
 
     def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, and how many each has. Many are one text for the tokenizer: each ends with a token that ends a word."""
@@ -142,29 +217,33 @@ class Encoder:
             part = new[k : k + 20_000]
             self.pieces.add(part, *self._ids(part))
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
         whole = b"\n".join(new).decode()
         if _ODD.search(whole):  # words with odd signs or with one of the tokenizer's marks
-            odd = [w for w in new if _ODD.search(w.decode())]
-            self.words.add(odd, *self._ids_one_by_one([w.decode() for w in odd]), [w.endswith((b".", b"!", b"?")) for w in odd])
-            new = [w for w in new if w not in self.words.place]
+            odd = np.array([bool(_ODD.search(w)) for w in whole.split("\n")])
+            some = [new[k] for k in np.flatnonzero(odd)]
+            self.words.add(keys[odd], *self._ids_one_by_one([w.decode() for w in some]), _stops(some))
+            keys, new = keys[~odd], [new[k] for k in np.flatnonzero(~odd)]
             whole = b"\n".join(new).decode()
         if new:
-            split = list(map(_PIECES.findall, whole.lower().split("\n")))
-            per = np.fromiter(map(len, split), np.int64, len(split))
-            at = self.pieces.find(list(chain.from_iterable(split)), self._learn_pieces)
-            ends = np.append(0, np.cumsum(self.pieces.length[at], dtype=np.int64))
-            bounds = np.append(0, np.cumsum(per))
-            self.words.add(new, self.pieces.gather(at), np.diff(ends[bounds]), [w.endswith((b".", b"!", b"?")) for w in new])
+            at = self.pieces.find(_PIECES.findall(whole.lower() + "\n"), self._learn_pieces)
+            ends = np.cumsum(self.pieces.length[at], dtype=np.int64)[at == 0]
+            self.words.add(keys, self.pieces.gather(at), np.diff(ends, prepend=0), _stops(new))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, each text's with the end id after them; the ids at which sentences end; the number of ids of each text."""
-        split = [t.split() for t in texts]
-        at = self.words.find(list(chain.from_iterable(split)), self._learn)
+        raw = b"".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        begins, ends, bounds = words(data, np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+
+        def learn(keys: np.ndarray, first: np.ndarray) -> None:
+            self._learn(keys, [raw[lo:hi] for lo, hi in zip(begins[first].tolist(), ends[first].tolist(), strict=True)])
+
+        at = self.words.find(word_hashes(data, begins, ends), learn)
         # an end after the words of each text
-        row = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        row = np.repeat(np.arange(len(texts)), np.diff(bounds))
         length = self.words.length[at].astype(np.int64)
-        counts = np.bincount(row, length, len(split)).astype(np.int64) + 1
+        counts = np.bincount(row, length, len(texts)).astype(np.int64) + 1
         out = self.words.gather(at, row, np.full(int(counts.sum()), END_ID, np.uint32))
         stops = (np.cumsum(length) + row)[self.words.stop[at]]
         self.words.forget()
