@@ -147,8 +147,13 @@ class _Words(_Table):
         super().__init__(most)
         self._room(1 << 16)
 
+    @property
+    def place(self) -> np.ndarray:
+        """The slots of what is remembered."""
+        return self.slot[: self.count]
+
     def _room(self, slots: int) -> None:
-        self.hash, self.place = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self.hash, self.owner = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
         self.slot = np.zeros(slots // 2, np.int64)  # of each place
 
     def _put(self, keys: np.ndarray, at: int) -> None:
@@ -159,25 +164,25 @@ class _Words(_Table):
         mask = len(self.hash) - 1
         slot, left = (keys & np.uint64(mask)).astype(np.int64), np.arange(len(keys))
         while len(left):
-            free = left[self.place[slot[left]] < 0]
-            self.place[slot[free]] = at + free  # of several that want a slot one gets it
+            free = left[self.owner[slot[left]] < 0]
+            self.owner[slot[free]] = at + free  # of several that want a slot one gets it
             self.hash[slot[free]] = keys[free]
-            left = left[self.place[slot[left]] != at + left]
+            left = left[self.owner[slot[left]] != at + left]
             slot[left] = (slot[left] + 1) & mask
         self.slot[at : at + len(keys)] = slot
 
     def _drop(self, most: int) -> None:
         # a key that came together with these may not be met then, and is learned again
-        self.place[self.slot[most : self.count]] = -1
+        self.owner[self.slot[most : self.count]] = -1
 
     def _seek(self, keys: np.ndarray) -> np.ndarray:
         mask = len(self.hash) - 1
         slot = (keys & np.uint64(mask)).astype(np.int64)
-        out = self.place[slot]
+        out = self.owner[slot]
         left = np.flatnonzero((out >= 0) & (self.hash[slot] != keys))
         while len(left):
             slot[left] = (slot[left] + 1) & mask
-            out[left] = self.place[slot[left]]
+            out[left] = self.owner[slot[left]]
             left = left[(out[left] >= 0) & (self.hash[slot[left]] != keys[left])]
         return out
 
