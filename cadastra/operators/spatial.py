@@ -30,7 +30,7 @@ def _level(cell: float) -> Column:
 
 @dataclass(frozen=True)
 class Grid:
-    """A cell's side with the levels that may be met, so that joins of parts of known tables need not look them up."""
+    """A cell's side with the levels of known tables, so that joins of their parts need not look them up; any levels give the same pairs."""
 
     cell: float
     meet: tuple[int, ...]
@@ -49,9 +49,11 @@ def levels(df: DataFrame, cell: float) -> list[int]:
 
 
 def _celled(df: DataFrame, cell: float, meet: list[int]) -> DataFrame:
-    """A row for each level of ``meet`` from a box's own upwards and each cell touched there."""
-    df = df.where(F.col("xmin").isNotNull()).withColumn("_level", _level(cell))
-    df = df.withColumn("_at", F.explode(F.filter(F.array(*[F.lit(k) for k in meet]), lambda k: k >= F.col("_level"))))
+    """A row for each level of ``meet`` from a box's own upwards and each cell touched there; a box above all of them is on the highest."""
+    steps = F.array(*[F.lit(k) for k in meet or [0]])
+    own = F.coalesce(F.array_min(F.filter(steps, lambda k: k >= _level(cell))), F.array_max(steps))
+    df = df.where(F.col("xmin").isNotNull()).withColumn("_level", own)
+    df = df.withColumn("_at", F.explode(F.filter(steps, lambda k: k >= F.col("_level"))))
     size = F.pow(F.lit(float(LADDER)), F.col("_at")) * float(cell)
     spread = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
     return df.withColumn("_cx", F.explode(spread("xmin", "xmax"))).withColumn("_cy", F.explode(spread("ymin", "ymax")))

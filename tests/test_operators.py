@@ -242,3 +242,12 @@ def test_days_of_a_study_without_sample_days(spark):
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(2, t0, t0), (0, t0, t0 + dt.timedelta(days=3)), (None, None, t0)], "d int, a timestamp_ntz, b timestamp_ntz")
     assert [r[0] for r in df.select(traffic.study_days(F.col("d"), F.col("a"), F.col("b"))).collect()] == [2.0, 3.01, 1.0]
+
+
+def test_known_grids_give_the_same_pairs(spark):
+    boxes = spark.createDataFrame([(k, k * 7 % 90, k * 13 % 90, k * 7 % 90 + 1 + k * k % 300, k * 13 % 90 + 2) for k in range(40)], "id long, xmin long, ymin long, xmax long, ymax long")
+    pairs = lambda grid: sorted(tuple(r) for r in spatial.grid_join(boxes, boxes, grid).select("l_id", "r_id").collect())
+    want = pairs(8)
+    assert len(want) > 40
+    for meet in ((0,), (0, 1), (0, 2), (0, 1, 2, 3)):
+        assert pairs(spatial.Grid(8, meet)) == want
